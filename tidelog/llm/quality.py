@@ -119,7 +119,7 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.2) -> floa
     return float(min(0.99, max(0.05, min(ratios))))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 500, rate: float = 0.03, decay: float = 1e-4) -> Model:
+def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 1200, rate: float = 0.05, decay: float = 1e-5) -> Model:
     both = np.vstack([pos, unl]).astype(np.float64)
     centre, scale = both.mean(0), both.std(0) + 0.02
     p, u = (np.clip((x - centre) / scale, -6, 6) for x in (pos, unl))
