@@ -213,32 +213,36 @@ def _of(content: str) -> ByteBPE:
     return _loaded[content]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row per row of docs: the id, ``ids`` (array of int) and ``n_tokens``.
+_KINDS = {"ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: the id, ``n_tokens`` and the outputs asked for.
 
     vocabulary: path of the vocabulary on the driver; its content goes to the executors (some MB,
-    whatever the corpus). digests: instead of the ids, ``ids_sha256`` and ``decoded_sha256`` (of
-    the ids as little-endian 32-bit integers and of the decoded text).
+    whatever the corpus). outputs: ``ids`` (array of int), ``ids_sha256`` (of the ids as
+    little-endian 32-bit integers), ``decoded_sha256`` (of the text decoded from the ids, in UTF-8).
     A null text counts as empty and has no tokens. Repeated rows and other columns do not matter:
     only these two columns are read. An empty table gives an empty result.
     """
     with open(vocabulary, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
+    schema = ", ".join([f"`{id_col}` {kind}", "n_tokens bigint", *(f"{o} {_KINDS[o]}" for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(content.value)
-        for batch in batches:
-            packed = [bpe.encode(t or "") for t in _strings(batch.column(1))]
-            counts = pa.array([len(p) // 4 for p in packed], pa.int64())
-            if digests:
-                rest = [pa.array([sha256(p).hexdigest() for p in packed]), pa.array([sha256(bpe.decode(p)).hexdigest() for p in packed])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), counts, *rest], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.ListArray.from_arrays(offsets, flat)], [id_col, "n_tokens", "ids"])
+        make = {
+            "ids": lambda packed: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4"))),
+            "ids_sha256": lambda packed: pa.array([sha256(p).hexdigest() for p in packed]),
+            "decoded_sha256": lambda packed: pa.array([sha256(bpe.decode(p)).hexdigest() for p in packed]),
+        }
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                packed = [bpe.encode(t or "") for t in _strings(batch.column(1))]
+                counts = pa.array([len(p) // 4 for p in packed], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), counts, *(make[o](packed) for o in outputs)], [id_col, "n_tokens", *outputs])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
