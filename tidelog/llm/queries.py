@@ -49,7 +49,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("kinds", lambda k, r=r: k == r.kind)).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE]
+    def number(kind: str):
+        return F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(r.kind) for r in secret_scan.BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
