@@ -1,13 +1,471 @@
-"""Queries over the given tables, by name, with their SQL."""
+"""Queries over the given tables, by name, each with its SQL.
+
+The queries go through the engine's operators; ``testdata`` maps the given tables to their inputs.
+"""
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import calendar, lsn, masking
+from ..operators import checks, contracts, dimensions, fx, history, monitor
+from ..session import ship
+from ..sources.tables import table
+from . import testdata as T
+
 FLAGSHIP = "fct_asof_customer"
+KEY = "tidelog-test-key"  # synthetic: it masks generated names only
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+# --- shared pieces of SQL ---------------------------------------------------------------------
+
+_LOG = """log AS (SELECT event_id AS lsn_numeric, ts AS commit_time, dayofmonth(ts)::BIGINT AS xid, user_id,
+  CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS action,
+  CASE WHEN event_type <> 'error' THEN event_type END AS event_type,
+  CASE WHEN event_type IN ('signup','purchase') THEN value::DECIMAL(14,2) END AS v,
+  CASE WHEN event_type = 'click' THEN props END AS p, event_id % 4999 = 0 AS cuts FROM events)"""
+_HISTORY = (
+    _LOG
+    + """, carried AS (SELECT lsn_numeric, commit_time, xid, user_id, action,
+  last_value(event_type IGNORE NULLS) OVER w AS event_type, last_value(v IGNORE NULLS) OVER w AS v, last_value(p IGNORE NULLS) OVER w AS p,
+  lead(lsn_numeric) OVER (PARTITION BY user_id ORDER BY lsn_numeric) IS NULL AS is_current
+  FROM log WINDOW w AS (PARTITION BY user_id ORDER BY lsn_numeric ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cut AS (SELECT max(lsn_numeric) AS b FROM log WHERE cuts),
+history AS (SELECT c.*, CASE WHEN is_current AND lsn_numeric < b THEN '0/' || upper(to_hex(b)) END AS truncated_at_lsn FROM carried c CROSS JOIN cut)"""
+)
+_VERSIONS = (
+    _HISTORY
+    + """, flagged AS (SELECT *, action = 'delete' OR truncated_at_lsn IS NOT NULL AS is_deleted FROM history),
+collapsed AS (SELECT * FROM flagged QUALIFY row_number() OVER (PARTITION BY user_id, xid, commit_time ORDER BY lsn_numeric DESC) = 1),
+dim AS (SELECT md5(user_id::VARCHAR || '|' || lsn_numeric::VARCHAR) AS customer_sk, user_id, event_type, v, p,
+  CASE WHEN row_number() OVER w = 1 THEN TIMESTAMP '1900-01-01' ELSE commit_time END AS valid_from, lead(commit_time) OVER w AS valid_to,
+  commit_time AS first_seen_at, lead(lsn_numeric) OVER w IS NULL AS is_current, is_deleted
+  FROM collapsed WINDOW w AS (PARTITION BY user_id ORDER BY lsn_numeric))"""
+)
+_PAY = "pay AS (SELECT o_orderkey AS payment_id, o_custkey AS customer_id, o_totalprice::DECIMAL(14,2) AS amount, o_orderstatus AS currency, o_orderpriority AS status, o_orderdate AS created_at FROM orders)"
+_RATES = "rates AS (SELECT l_linestatus AS currency, l_shipdate::DATE AS quote_date, (1 + max(l_discount::DECIMAL(18,8)))::DECIMAL(18,8) AS rate_brl FROM lineitem WHERE isodow(l_shipdate::DATE) <= 5 GROUP BY ALL)"
+_CONVERTED = "round(amount * {rate}, 2)::DECIMAL(18,2)"
+_DATES = "SELECT strftime(d, '%Y%m%d')::INT AS date_sk, d::DATE AS date_day, year(d)::BIGINT AS year, month(d)::BIGINT AS month, day(d)::BIGINT AS day_of_month, isodow(d)::BIGINT AS iso_day_of_week, isodow(d) >= 6 AS is_weekend"
+
+
+def query(sql: str | None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _Q[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- the change log ----------------------------------------------------------------------------
+
+
+@query(f"WITH {_LOG} SELECT 'events' AS table_name, action, count(*) AS n FROM (SELECT action FROM log UNION ALL SELECT 'truncate' FROM log WHERE cuts) GROUP BY ALL")
+def bronze_event_counts(spark, d):
+    return T.change_log(spark, d).groupBy("table_name", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def bronze_replay_dedup(spark, d):
+    return history.without_replays(T.replayed_events(spark, d), ["user_id", "event_id"]).select("event_id", "user_id", "event_type", "value")
+
+
+@query("WITH r AS (SELECT user_id, event_id, event_type FROM events UNION ALL SELECT user_id, event_id, CASE WHEN event_id % 100 = 0 THEN 'other' ELSE event_type END FROM events WHERE event_id % 10 = 0) SELECT user_id, event_id, count(*) AS n_rows, count(DISTINCT event_type) AS n_versions FROM r GROUP BY ALL HAVING count(DISTINCT event_type) > 1")
+def bronze_replay_conflicts(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    again = e.where("event_id % 10 = 0").withColumn("event_type", F.when(F.col("event_id") % 100 == 0, "other").otherwise(F.col("event_type")))
+    return history.replay_conflicts(e.unionByName(again), ["user_id", "event_id"], [F.col("event_type")])
+
+
+@query("WITH r AS (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id % 10 = 0) SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_lsn FROM r")
+def bronze_replay_counts(spark, d):
+    return T.replayed_events(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_lsn"))
+
+
+@query("SELECT 1::BIGINT AS n_instances, 0::BIGINT AS n_null FROM (SELECT 1)")
+def one_source_instance(spark, d):
+    return history.source_instances(T.change_log(spark, d, truncates=False))
+
+
+_POSITION = "(event_id * 5000000007)"
+
+
+@query(f"SELECT event_id, upper(to_hex({_POSITION} >> 32)) || '/' || upper(to_hex({_POSITION} & 4294967295)) AS lsn, {_POSITION} AS lsn_numeric FROM events")
+def lsn_format(spark, d):
+    e = table(spark, d, "events").select("event_id", lsn.format_lsn(F.col("event_id") * 5000000007).alias("lsn"))
+    return e.withColumn("lsn_numeric", lsn.parse_lsn(F.col("lsn")))
+
+
+@query(f"WITH p AS (SELECT {_POSITION} AS n, upper(to_hex({_POSITION} >> 32)) || '/' || upper(to_hex({_POSITION} & 4294967295)) AS t FROM events) SELECT max(t) AS last_by_text, arg_max(t, n) AS last_by_number FROM p")
+def lsn_text_sort_trap(spark, d):
+    n = F.col("event_id") * 5000000007
+    return table(spark, d, "events").select(n.alias("n"), lsn.format_lsn(n).alias("t")).agg(F.max("t").alias("last_by_text"), F.max_by("t", "n").alias("last_by_number"))
+
+
+@query("SELECT user_id, max(event_id) * 65536 - min(event_id) * 65536 AS lag_bytes, CASE WHEN abs((max(event_id) - min(event_id)) * 65536) >= 10485760 THEN (((max(event_id) - min(event_id)) * 65536 + 524288) // 1048576)::VARCHAR || ' MB' WHEN abs((max(event_id) - min(event_id)) * 65536) >= 10240 THEN (((max(event_id) - min(event_id)) * 65536 + 512) // 1024)::VARCHAR || ' kB' ELSE ((max(event_id) - min(event_id)) * 65536)::VARCHAR || ' bytes' END AS lag_pretty FROM events GROUP BY user_id")
+def wal_lag_diff(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg((F.max("event_id") * 65536).alias("a"), (F.min("event_id") * 65536).alias("b"))
+    diff = lsn.lsn_diff(F.col("a"), F.col("b"))
+    return e.select("user_id", diff.alias("lag_bytes"), lsn.pretty_size(diff).alias("lag_pretty"))
+
+
+# --- the cleaned history -------------------------------------------------------------------------
+
+
+def _carried(spark, d, strict: bool):
+    log = T.change_log(spark, d, truncates=False).withColumn("user_id", F.col("key")["user_id"].cast("long"))
+    values = {"v_now": F.col("after")["v"].cast("decimal(14,2)"), "p_now": F.col("after")["p"]}
+    present = {"v_now": F.coalesce(F.map_contains_key("after", F.lit("v")), F.lit(False)), "p_now": F.coalesce(F.map_contains_key("after", F.lit("p")), F.lit(False))} if strict else None
+    return history.carry_forward(log, ["user_id"], "lsn_numeric", values, present).select("user_id", "lsn_numeric", "v_now", "p_now")
+
+
+@query(f"WITH {_HISTORY} SELECT user_id, lsn_numeric, v AS v_now, p AS p_now FROM carried")
+def silver_carry_forward(spark, d):
+    return _carried(spark, d, False)
+
+
+@query(
+    """WITH log AS (SELECT user_id, event_id AS lsn_numeric, event_type <> 'error' AND event_type IN ('signup','purchase') AS here,
+  CASE WHEN value > 20 THEN value::DECIMAL(14,2) END AS v FROM events),
+marked AS (SELECT *, max(CASE WHEN here THEN lsn_numeric END) OVER (PARTITION BY user_id ORDER BY lsn_numeric) AS last_here FROM log)
+SELECT m.user_id, m.lsn_numeric, l.v AS v_now FROM marked m LEFT JOIN log l ON l.user_id = m.user_id AND l.lsn_numeric = m.last_here"""
+)
+def silver_carry_forward_strict(spark, d):
+    e = table(spark, d, "events")
+    here = F.col("event_type").isin("signup", "purchase")
+    after = F.when(here, F.create_map(F.lit("v"), F.when(F.col("value") > 20, F.col("value").cast("decimal(14,2)").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    log = e.select("user_id", F.col("event_id").alias("lsn_numeric"), after.alias("after"))
+    out = history.carry_forward(log, ["user_id"], "lsn_numeric", {"v_now": F.col("after")["v"].cast("decimal(14,2)")}, {"v_now": F.map_contains_key("after", F.lit("v"))})
+    return out.select("user_id", "lsn_numeric", "v_now")
+
+
+@query(f"WITH {_HISTORY} SELECT user_id, lsn_numeric, is_current FROM carried")
+def silver_is_current(spark, d):
+    log = T.change_log(spark, d, truncates=False).withColumn("user_id", F.col("key")["user_id"].cast("long"))
+    return history.mark_current(log, ["user_id"], "lsn_numeric").select("user_id", "lsn_numeric", "is_current")
+
+
+@query("SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def latest_per_key(spark, d):
+    return history.latest(table(spark, d, "events"), ["user_id"], "event_id").select("user_id", "event_id", "event_type", "ts")
+
+
+@query("SELECT max(event_id) AS truncate_order, '0/' || upper(to_hex(max(event_id))) AS truncate_text FROM events WHERE event_id % 4999 = 0")
+def silver_truncate_boundary(spark, d):
+    return history.truncate_boundary(T.change_log(spark, d).where("action = 'truncate'"))
+
+
+@query(f"WITH {_HISTORY} SELECT user_id, event_type, v, p, is_current, action = 'delete' OR truncated_at_lsn IS NOT NULL AS is_deleted, truncated_at_lsn, '0/' || upper(to_hex(lsn_numeric)) AS change_lsn, lsn_numeric AS change_lsn_numeric, xid AS change_xid, commit_time AS change_commit_time FROM history")
+def silver_full(spark, d):
+    return history.build_history(T.change_log(spark, d), T.EVENTS, lambda c: c, validate=False)
+
+
+@query(
+    """SELECT 'lang' AS column_name, 'bigint' AS type_name, count(*) FILTER (lang IS NOT NULL AND TRY_CAST(lang AS BIGINT) IS NULL) AS n_refused, arg_min(lang, doc_id) FILTER (lang IS NOT NULL AND TRY_CAST(lang AS BIGINT) IS NULL) AS first_refused FROM documents
+UNION ALL SELECT 'source', 'date', count(*) FILTER (source IS NOT NULL), arg_min(source, doc_id) FILTER (source IS NOT NULL) FROM documents
+UNION ALL SELECT 'n_chars', 'int', 0, NULL FROM (SELECT 1)"""
+)
+def silver_cast_probe(spark, d):
+    raw = {"lang": (F.col("lang"), "bigint"), "source": (F.col("source"), "date"), "n_chars": (F.col("n_chars").cast("string"), "int")}
+    return history.cast_probe(table(spark, d, "documents"), raw, "doc_id")
+
+
+_INNER, _OUTER = masking.pads(KEY.encode())
+
+
+@query(f"SELECT c_custkey, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(c_name)))) AS c_name_masked FROM customer")
+def silver_mask_hmac(spark, d):
+    return table(spark, d, "customer").select("c_custkey", masking.masker(KEY, native=True)(F.col("c_name")).alias("c_name_masked"))
+
+
+@query(_SQL["silver_mask_hmac"])
+def silver_mask_hmac_arrow(spark, d):
+    return table(spark, d, "customer").select("c_custkey", masking.masker(KEY)(F.col("c_name")).alias("c_name_masked"))
+
+
+# --- dimensions and facts --------------------------------------------------------------------------
+
+
+@query(f"WITH {_VERSIONS} SELECT user_id, xid AS change_xid, commit_time AS change_commit_time, lsn_numeric AS change_lsn_numeric, event_type FROM collapsed")
+def stg_collapse_tx(spark, d):
+    return T.customer_versions(spark, d).select("user_id", "change_xid", "change_commit_time", "change_lsn_numeric", "event_type")
+
+
+@query("SELECT user_id, day(ts)::BIGINT AS xid, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY event_id DESC) = 1")
+def stg_collapse_daily(spark, d):
+    e = table(spark, d, "events").withColumn("xid", F.dayofmonth("ts").cast("long"))
+    return dimensions.collapse_transactions(e, ["user_id"], "event_id", ["xid"]).select("user_id", "xid", "event_id", "event_type")
+
+
+def _versions(spark, d):
+    v = dimensions.scd2(T.customer_versions(spark, d).drop("is_current"), ["user_id"], "change_lsn_numeric", "change_commit_time")
+    return v.withColumn("customer_sk", dimensions.surrogate(F.col("user_id"), F.col("change_lsn_numeric")))
+
+
+@query(f"WITH {_VERSIONS} SELECT * FROM dim")
+def dim_customer_scd2(spark, d):
+    return _versions(spark, d).select("customer_sk", "user_id", "event_type", "v", "p", "valid_from", "valid_to", "first_seen_at", "is_current", "is_deleted")
+
+
+@query("SELECT md5(s_suppkey::VARCHAR) AS merchant_sk, s_suppkey AS merchant_id, s_name AS legal_name, s_nationkey AS country, false AS is_deleted FROM supplier")
+def dim_merchant_scd1(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(dimensions.surrogate(F.col("s_suppkey")).alias("merchant_sk"), F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("legal_name"), F.col("s_nationkey").alias("country"), F.lit(False).alias("is_deleted"))
+
+
+@query("SELECT md5(currency) AS currency_sk, currency, currency = 'P' AS is_base_currency FROM (SELECT o_orderstatus AS currency FROM orders UNION SELECT l_linestatus FROM lineitem)")
+def dim_currency(spark, d):
+    return dimensions.currencies(table(spark, d, "orders").select("o_orderstatus"), table(spark, d, "lineitem").select("l_linestatus"), base=T.BASE_CURRENCY)
+
+
+@query(f"{_DATES} FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM (SELECT o_orderdate::DATE AS d FROM orders UNION ALL SELECT l_shipdate::DATE FROM lineitem))")
+def dim_date(spark, d):
+    return dimensions.dates(table(spark, d, "orders").select(F.to_date("o_orderdate")), table(spark, d, "lineitem").select(F.to_date("l_shipdate")))
+
+
+@query(f"WITH {_VERSIONS}, f AS (SELECT event_id, user_id, ts, value::DECIMAL(14,2) AS amount FROM events WHERE event_type = 'purchase') SELECT event_id, f.user_id, ts, amount, customer_sk, dim.event_type AS as_of_type FROM f LEFT JOIN dim ON dim.user_id = f.user_id AND ts >= valid_from AND (valid_to IS NULL OR ts < valid_to)")
+def fct_asof_customer(spark, d):
+    facts = table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts", F.col("value").cast("decimal(14,2)").alias("amount"))
+    return dimensions.as_of(facts, _versions(spark, d).withColumnRenamed("event_type", "as_of_type"), "user_id", "ts", ["customer_sk", "as_of_type"])
+
+
+def _convert(spark, d, strict):
+    p, r = T.payments(spark, d), T.rates(spark, d)
+    joined = p.withColumn("quote_date", F.to_date("created_at")).join(r, ["currency", "quote_date"], "left")
+    return joined.select("payment_id", "currency", "amount", fx.convert(F.col("amount"), F.col("rate_brl"), F.col("currency") == T.BASE_CURRENCY, strict).alias("amount_brl"))
+
+
+@query(f"WITH {_PAY}, {_RATES} SELECT payment_id, pay.currency, amount, {_CONVERTED.format(rate='coalesce(rate_brl, 1)')} AS amount_brl FROM pay LEFT JOIN rates ON rates.currency = pay.currency AND quote_date = created_at::DATE")
+def fct_fx_convert(spark, d):
+    return _convert(spark, d, False)
+
+
+@query(f"WITH {_PAY}, {_RATES} SELECT payment_id, pay.currency, amount, {_CONVERTED.format(rate='CASE WHEN pay.currency = ' + chr(39) + 'P' + chr(39) + ' THEN 1::DECIMAL(18,8) ELSE rate_brl END')} AS amount_brl FROM pay LEFT JOIN rates ON rates.currency = pay.currency AND quote_date = created_at::DATE")
+def fct_fx_convert_strict(spark, d):
+    return _convert(spark, d, True)
+
+
+@query(
+    f"""WITH {_PAY}, {_RATES}, cust AS (SELECT c_custkey AS customer_id, md5(c_custkey::VARCHAR || '|1') AS customer_sk, TIMESTAMP '1900-01-01' AS valid_from, TIMESTAMP '1997-06-15' AS valid_to FROM customer
+UNION ALL SELECT c_custkey, md5(c_custkey::VARCHAR || '|2'), TIMESTAMP '1997-06-15', NULL FROM customer),
+mer AS (SELECT s_suppkey AS merchant_id, md5(s_suppkey::VARCHAR) AS merchant_sk FROM supplier),
+live AS (SELECT *, payment_id % 100 + 1 AS merchant_id FROM pay WHERE payment_id % 50 <> 0),
+days AS (SELECT strftime(d, '%Y%m%d')::INT AS date_sk, d::DATE AS date_day FROM (SELECT unnest(generate_series(min(o_orderdate::DATE), max(o_orderdate::DATE), INTERVAL 1 DAY)) AS d FROM orders)),
+cur AS (SELECT DISTINCT md5(o_orderstatus) AS currency_sk, o_orderstatus AS currency FROM orders)
+SELECT md5(payment_id::VARCHAR) AS payment_sk, customer_sk, merchant_sk, date_sk, currency_sk, payment_id, amount AS amount_original, {_CONVERTED.format(rate='coalesce(rate_brl, 1)')} AS amount_brl,
+  live.currency <> 'P' AND rate_brl IS NULL AS rate_missing, live.currency, status, created_at
+FROM live LEFT JOIN cust ON cust.customer_id = live.customer_id AND created_at >= valid_from AND (valid_to IS NULL OR created_at < valid_to)
+LEFT JOIN mer ON mer.merchant_id = live.merchant_id LEFT JOIN days ON date_day = created_at::DATE LEFT JOIN cur ON cur.currency = live.currency
+LEFT JOIN rates ON rates.currency = live.currency AND quote_date = created_at::DATE"""
+)
+def fct_payment(spark, d):
+    p = T.payments(spark, d).withColumn("merchant_id", F.col("payment_id") % 100 + 1).withColumn("is_deleted", F.col("payment_id") % 50 == 0)
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"))
+    turn, none = F.lit("1997-06-15 00:00:00").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
+    versions = F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit(dimensions.BEGINNING).cast("timestamp_ntz").alias("valid_from"), turn.alias("valid_to")), F.struct(F.lit(2).alias("n"), turn.alias("valid_from"), none.alias("valid_to"))))
+    customers = c.select("customer_id", versions.alias("s")).select("customer_id", "s.*").withColumn("customer_sk", dimensions.surrogate(F.col("customer_id"), F.col("n")))
+    money = dimensions.currencies(table(spark, d, "orders").select("o_orderstatus"), base=T.BASE_CURRENCY)
+    days = dimensions.dates(table(spark, d, "orders").select(F.to_date("o_orderdate")))
+    return dimensions.payments_fact(p, customers, dim_merchant_scd1(spark, d), days, money, T.rates(spark, d), base=T.BASE_CURRENCY)
+
+
+@query(f"WITH {_PAY}, {_RATES} SELECT payment_id, amount, rate_brl FROM pay LEFT JOIN rates ON rates.currency = pay.currency AND quote_date = created_at::DATE ORDER BY payment_id DESC LIMIT 5")
+def bronze_adhoc_fx(spark, d):
+    p = T.payments(spark, d).withColumn("quote_date", F.to_date("created_at"))
+    return p.join(T.rates(spark, d), ["currency", "quote_date"], "left").select("payment_id", "amount", "rate_brl").orderBy(F.desc("payment_id")).limit(5)
+
+
+# --- rates -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_RATES} SELECT currency, max(quote_date) AS last_quote_date FROM rates GROUP BY currency")
+def fx_watermark(spark, d):
+    return fx.watermark(T.rates(spark, d))
+
+
+@query("WITH s AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders), m AS (SELECT unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH))::DATE AS m, a, b FROM s) SELECT greatest(a, m) AS window_start, least(b, last_day(m)) AS window_end FROM m")
+def fx_month_windows(spark, d):
+    span = table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    return calendar.month_windows(span, "a", "b")
+
+
+@query(f"WITH {_RATES} SELECT currency, quote_date, CASE WHEN day(quote_date) <= 17 THEN (rate_brl + 1)::DECIMAL(18,8) ELSE rate_brl END AS rate_brl FROM rates")
+def fx_merge_month(spark, d):
+    r = T.rates(spark, d).withColumn("ingested_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    early = r.where(F.dayofmonth("quote_date") <= 17).select("currency", "quote_date", (F.col("rate_brl") + 1).cast("decimal(18,8)").alias("rate_brl"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("ingested_at"))
+    return fx.merge(r, early).select("currency", "quote_date", "rate_brl")
+
+
+# --- contracts ---------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT * FROM (VALUES ('payments','amount','type'), ('payments','note','unexpected'), ('payments','updated_at','missing')) AS t(table_name, column_name, problem)
+UNION ALL SELECT 'region', r_name, 'unexpected' FROM region"""
+)
+def contract_relation_diff(spark, d):
+    declared = [(contracts.PAYMENTS.table, a.name, a.type) for a in contracts.PAYMENTS.attributes]
+    actual = [(t, n, "text" if n == "amount" else k) for t, n, k in declared if n != "updated_at"] + [("payments", "note", "text")]
+    schema = "table_name string, column_name string, type_name string"
+    extra = table(spark, d, "region").select(F.lit("region").alias("table_name"), F.col("r_name").alias("column_name"), F.lit("text").alias("type_name"))
+    return contracts.relation_diff(spark.createDataFrame(declared, schema), spark.createDataFrame(actual, schema).unionByName(extra))
+
+
+@query(
+    """SELECT event_id AS lsn_numeric, 'v' AS column_name, 'missing' AS problem FROM events WHERE event_type = 'signup' AND event_id % 7 = 0
+UNION ALL SELECT event_id, 'p', 'missing' FROM events WHERE event_type = 'signup'
+UNION ALL SELECT event_id, 'v', 'type' FROM events WHERE event_type = 'purchase' AND event_id % 11 = 0
+UNION ALL SELECT event_id, 'p', 'null' FROM events WHERE event_type = 'click' AND event_id % 13 = 0
+UNION ALL SELECT event_id, 'extra', 'unexpected' FROM events WHERE event_type = 'view' AND event_id % 17 = 0"""
+)
+def row_contract_violations(spark, d):
+    log = T.change_log(spark, d)
+    n, kind, after = F.col("lsn_numeric"), F.col("after")["event_type"], F.col("after")
+    drop_v = F.map_filter(after, lambda k, _: k != "v")
+    bad_v = F.map_concat(drop_v, F.create_map(F.lit("v"), F.lit("much")))
+    null_p = F.transform_values(after, lambda k, v: F.when(k != "p", v))
+    extra = F.map_concat(after, F.create_map(F.lit("extra"), F.lit("1")))
+    broken = F.when((kind == "signup") & (n % 7 == 0), drop_v).when((kind == "purchase") & (n % 11 == 0), bad_v).when((kind == "click") & (n % 13 == 0), null_p).when((kind == "view") & (n % 17 == 0), extra).otherwise(after)
+    return contracts.row_violations(log.withColumn("after", broken), T.EVENTS, ["lsn_numeric"])
+
+
+# --- checks ----------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS value, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def check_unique_lineitem(spark, d):
+    return checks.unique(table(spark, d, "lineitem"), "l_orderkey")
+
+
+@query("SELECT o_orderkey AS value, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def check_unique_orders(spark, d):
+    return checks.unique(table(spark, d, "orders"), "o_orderkey")
+
+
+@query("SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
+def check_not_null_quality(spark, d):
+    both = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return checks.not_null(both, "quality").select("doc_id", "quality", "toxic")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+def check_relationships(spark, d):
+    parents = table(spark, d, "customer").where("c_custkey % 10 <> 0")
+    return checks.relationships(table(spark, d, "orders"), "o_custkey", parents, "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_type NOT IN ('click','view','signup') GROUP BY 1")
+def check_accepted_values(spark, d):
+    return checks.accepted_values(table(spark, d, "events"), "event_type", ["click", "view", "signup"])
+
+
+_GAPS = "SELECT 'gap between quotes' AS problem, currency, prev AS from_date, quote_date AS to_date, (quote_date - prev)::BIGINT AS days FROM (SELECT currency, quote_date, lag(quote_date) OVER (PARTITION BY currency ORDER BY quote_date) AS prev FROM thin) WHERE quote_date - prev > 5"
+_TAIL = "SELECT 'no quote up to the last payment' AS problem, currency, available AS from_date, needed AS to_date, (needed - available)::BIGINT AS days FROM (SELECT currency, max(created_at::DATE) AS needed FROM pay WHERE currency <> 'P' GROUP BY 1) LEFT JOIN (SELECT currency, max(quote_date) AS available FROM thin GROUP BY 1) USING (currency) WHERE available IS NULL OR needed - available > 5"
+_THIN = f"{_PAY}, {_RATES}, thin AS (SELECT * FROM rates WHERE day(quote_date) > 8 AND quote_date < DATE '2001-06-01')"
+
+
+def _thin(spark, d):
+    return T.rates(spark, d).where((F.dayofmonth("quote_date") > 8) & (F.col("quote_date") < F.lit(date(2001, 6, 1))))
+
+
+def _needed(spark, d):
+    return T.payments(spark, d).where(F.col("currency") != T.BASE_CURRENCY).select("currency", F.to_date("created_at").alias("day"))
+
+
+@query(f"WITH {_THIN} {_GAPS}")
+def check_fx_gaps(spark, d):
+    return checks.fx_gaps(_thin(spark, d))
+
+
+@query(f"WITH {_THIN} {_TAIL}")
+def check_fx_tail(spark, d):
+    return checks.fx_tail(_needed(spark, d), _thin(spark, d))
+
+
+@query(f"WITH {_THIN} {_GAPS} UNION ALL {_TAIL}")
+def check_fx_coverage(spark, d):
+    return checks.fx_coverage(_needed(spark, d), _thin(spark, d))
+
+
+@query("SELECT 'c_name' AS column_name, c_name AS value FROM customer WHERE c_custkey % 5 = 0")
+def check_pii_masked(spark, d):
+    masked = F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).otherwise(masking.mask_native(F.col("c_name"), KEY.encode()))
+    return checks.unmasked(table(spark, d, "customer").withColumn("c_name", masked), ["c_name"])
+
+
+@query("SELECT max(ts) AS last_at, 1200::BIGINT AS age_seconds, 'warn' AS status FROM events")
+def freshness(spark, d):
+    e = table(spark, d, "events")
+    as_of = e.agg((F.max("ts") + F.expr("interval 20 minutes")).alias("t"))
+    return checks.freshness(e, "ts", as_of.scalar())
+
+
+@query("WITH r AS (SELECT md5(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority)) AS h FROM orders), c AS (SELECT substr(h, 1, 3) AS cell, count(*) AS n, md5(string_agg(h, '|' ORDER BY h)) AS h FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n_rows, md5(string_agg(h, '|' ORDER BY cell)) AS digest FROM c")
+def table_fingerprint(spark, d):
+    return checks.fingerprint(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT count(*) AS n_rows, md5(string_agg(t, '|' ORDER BY t)) AS digest FROM (SELECT s_suppkey::VARCHAR || '|' || s_name AS t FROM supplier)")
+def table_fingerprint_listagg(spark, d):
+    rows = table(spark, d, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit("|"), F.col("s_name")).alias("t"))
+    return rows.selectExpr("count(*) AS n_rows", "md5(listagg(t, '|') WITHIN GROUP (ORDER BY t)) AS digest")
+
+
+@query("SELECT DISTINCT l_orderkey AS key, 'not in source' AS problem FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0) UNION ALL SELECT o_orderkey, 'not in log' FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def reconcile_keys(spark, d):
+    return checks.reconcile(table(spark, d, "lineitem").select("l_orderkey"), table(spark, d, "orders").where("o_orderkey % 9 <> 0").select("o_orderkey"))
+
+
+@query("SELECT EXISTS (SELECT 1 FROM region) AND EXISTS (SELECT 1 FROM nation) AND EXISTS (SELECT 1 FROM events WHERE event_type = 'none') AS ready FROM (SELECT 1)")
+def readiness(spark, d):
+    return checks.all_present(table(spark, d, "region"), table(spark, d, "nation"), table(spark, d, "events").where("event_type = 'none'"))
+
+
+# --- monitoring --------------------------------------------------------------------------------------
+
+_SERIES = "counts AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY 1), series AS (SELECT window_start, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 10 MINUTE)) AS window_start FROM counts) LEFT JOIN counts USING (window_start))"
+
+
+@query(f"WITH {_SERIES} SELECT * FROM series")
+def heartbeat_windows(spark, d):
+    return monitor.windows(table(spark, d, "events"), "ts", "10 minutes")
+
+
+@query(f"WITH {_SERIES}, low AS (SELECT window_start, i - row_number() OVER (ORDER BY window_start) AS run FROM (SELECT *, row_number() OVER (ORDER BY window_start) AS i FROM series) WHERE n < 2) SELECT min(window_start) AS first_window, max(window_start) AS last_window, count(*) AS n_windows FROM low GROUP BY run HAVING count(*) >= 2")
+def heartbeat_alerts(spark, d):
+    return monitor.heartbeat_alerts(monitor.windows(table(spark, d, "events"), "ts", "10 minutes"), least=2, rounds=2)
+
+
+@query("WITH c AS (SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 1 HOUR)) AS window_start FROM c) SELECT event_type, window_start, coalesce(n, 0)::BIGINT AS n FROM s CROSS JOIN (SELECT DISTINCT event_type FROM c) LEFT JOIN c USING (event_type, window_start)")
+def write_rate_by_table(spark, d):
+    return monitor.windows(table(spark, d, "events"), "ts", "1 hour", ["event_type"])
+
+
+@query("SELECT max(p - restart) AS retained, max(p - restart) > 52428800 AS firing FROM (SELECT (SELECT max(event_id) FROM events) * 65536 AS p, min(event_id) * 65536 AS restart FROM events GROUP BY user_id)")
+def retained_lsn_threshold(spark, d):
+    e = table(spark, d, "events")
+    slots = e.groupBy(F.col("user_id").cast("string").alias("slot_name")).agg((F.min("event_id") * 65536).alias("restart_lsn"))
+    top = e.agg((F.max("event_id") * 65536).alias("position"))
+    return monitor.retained_log(slots.crossJoin(F.broadcast(top)), "position")
+
+
+@query("SELECT 'no data' AS problem FROM (SELECT count(*) AS n FROM events WHERE event_type = 'none') WHERE n = 0")
+def alert_vacuity(spark, d):
+    return monitor.vacuous(table(spark, d, "events").where("event_type = 'none'"))
