@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +137,24 @@ def _range_of(bounds: list[tuple]):
 # --- connected components ----------------------------------------------------------------------
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links (a[i], b[i]) that a union-find needs to join what they join."""
+    parent, used = list(range(n)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            used.append((x, y))
+    return used
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v), component being its smallest node.
 

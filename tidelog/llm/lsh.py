@@ -5,7 +5,7 @@
 3. A star round verifies each document of a bucket with the bucket's smallest one: as many pairs as
    rows. Verified links give components.
 4. Where a bucket still holds several components, all its pairs between different ones whose
-   signatures and weights allow the threshold are verified, in blocks.
+   signatures and weights allow the threshold are verified in place, block by block.
 
 So a bucket of many copies costs a pair a row, and pairs that step 3 leaves open are still compared:
 every candidate pair ends in one component, or verified, or ruled out by its signature.
@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import Scratch, components
+from .common import Scratch, components, forest
 
 WIDTH = 5
 BLOCK = 1024
+_COLUMNS = 4096
 
 
 class Measure:
@@ -76,6 +77,15 @@ def signatures(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id bigint, d1 bigint, d2 bigint, weight double, sig binary")
 
 
+def keys_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """64-bit keys of signatures (rows of a matrix), by band; bands never share a key but by chance."""
+    parts = sig.astype(np.uint64).reshape(len(sig), bands, rows)
+    key = np.broadcast_to(textvec.seeded(29, bands), (len(sig), bands))
+    for r in range(rows):
+        key = textvec.mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+    return key.view(np.int64)
+
+
 def band_keys(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, id): a row for each band of each signature."""
 
@@ -83,11 +93,8 @@ def band_keys(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     def keys(column: pa.Array) -> pa.Array:
         if not len(column):
             return pa.array([], pa.list_(pa.int64()))
-        sig = np.stack([np.frombuffer(s.as_py(), "<u4") for s in column]).astype(np.uint64).reshape(len(column), bands, rows)
-        key = np.broadcast_to(textvec.seeded(29, bands), (len(column), bands))
-        for r in range(rows):
-            key = textvec.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
+        key = keys_of(np.stack([np.frombuffer(s.as_py(), "<u4") for s in column]), bands, rows)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1)))
 
     return sigs.select(F.explode(keys("sig")).alias("key"), "id")
 
@@ -111,34 +118,92 @@ def verified(pairs: DataFrame, texts: DataFrame, measure: Measure, threshold: fl
     return pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint, similarity double")
 
 
-def open_pairs(members: DataFrame, sizes: DataFrame, threshold: float, hashes: int) -> DataFrame:
-    """Pairs of one bucket, of different components, that the threshold does not rule out.
+def common_weights(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of minima of all pairs of (shingles, weights), by products of matrices.
 
-    members: key, id, component, weight, sig; sizes: key, n. A large bucket is cut to blocks and
-    each pair of blocks is a task of its own. Ruled out are pairs whose weights differ too much to
-    reach the threshold, and those with fewer equal signature values than the threshold would give
-    five standard deviations below its mean (below one in a million of the pairs at the threshold).
+    A shingle's weights become steps: min(v, w) is the sum of the steps that both reach. Steps that
+    one document alone reaches are left out; the others are multiplied some thousand at a time.
     """
+    n = len(sets)
+    doc = np.repeat(np.arange(n), [len(s) for s, _ in sets])
+    shingle, weight = np.concatenate([s for s, _ in sets]), np.concatenate([w for _, w in sets])
+    order = np.lexsort((weight, shingle))
+    doc, shingle, weight = doc[order], shingle[order], weight[order]
+    new_shingle = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+    new_step = new_shingle | np.concatenate([[True], weight[1:] != weight[:-1]])
+    step = np.cumsum(new_step) - 1
+    first = np.flatnonzero(new_step)
+    size = weight[first] - np.where(new_shingle[first], 0, weight[np.maximum(first - 1, 0)])
+    lowest = step[np.maximum.accumulate(np.where(new_shingle, np.arange(len(shingle)), 0))]
+    times = step - lowest + 1  # a weight reaches its own step and those below it
+    at = np.repeat(step - times + 1, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    doc = np.repeat(doc, times)
+    often = np.bincount(at, minlength=len(size))
+    name = np.cumsum(often > 1) - 1
+    keep = often[at] > 1
+    at, doc, root = name[at[keep]], doc[keep], np.sqrt(size[often > 1])
+    order = np.argsort(at, kind="stable")
+    at, doc = at[order], doc[order]
+    out = np.zeros((n, n))
+    for a in range(0, len(root), _COLUMNS):
+        i, j = np.searchsorted(at, (a, a + _COLUMNS))
+        m = np.zeros((n, min(_COLUMNS, len(root) - a)), np.float32)
+        m[doc[i:j], at[i:j] - a] = root[at[i:j]]
+        out += m @ m.T
+    return out
+
+
+def open_links(members: DataFrame, sizes: DataFrame, measure: Measure, threshold: float) -> DataFrame:
+    """Verified links (u, v) between documents of one bucket and different components, as spanning forests.
+
+    members: key, id, component, weight, sig, text; sizes: key, n. A large bucket is cut to blocks
+    and each pair of blocks is a task, which verifies its pairs and returns no more links than it
+    has rows. A pair is verified in the first band that it shares. Ruled out are pairs whose weights
+    differ too much to reach the threshold, and those with fewer equal signature values than the
+    threshold would give five standard deviations below its mean.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(measure)
+    hashes = measure.bands * measure.rows
     least = threshold * hashes - 5 * (hashes * threshold * (1 - threshold)) ** 0.5
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(sizes, "key").withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    placed = members.join(sizes, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "component", "weight", "sig")
+    dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "component", "weight", "sig", "text")
 
     def run(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        m = shared.value
+        i, j, key = (group.column(c)[0].as_py() for c in ("i", "j", "key"))
         ids, comp, weight, block = (group.column(c).to_numpy() for c in ("id", "component", "weight", "b"))
         sig = np.stack([np.frombuffer(s.as_py(), "<u4") for s in group.column("sig")])
+        keys = keys_of(sig, m.bands, m.rows)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        us, vs = [], []
+        xs, ys = [], []
         for x in left:
             y = right[(ids[right] > ids[x]) & (comp[right] != comp[x])] if i == j else right[comp[right] != comp[x]]
             y = y[np.minimum(weight[y], weight[x]) >= (threshold - 1e-9) * np.maximum(weight[y], weight[x])]
             y = y[(sig[y] == sig[x]).sum(1) >= least]
-            us.append(np.maximum(ids[y], ids[x]))
-            vs.append(np.minimum(ids[y], ids[x]))
+            if len(y):
+                band = (keys[y] == keys[x]).argmax(1)
+                y = y[keys[x, band] == key]
+                xs.append(np.full(len(y), x))
+                ys.append(y)
         none = [np.zeros(0, np.int64)]
-        return pa.table({"u": pa.array(np.concatenate(us or none)), "v": pa.array(np.concatenate(vs or none))})
+        x, y = np.concatenate(xs or none), np.concatenate(ys or none)
+        if len(x):
+            used, to = np.unique(np.concatenate([x, y]), return_inverse=True)
+            x, y = to[: len(x)], to[len(x) :]
+            sets = [(s, m.weights(s, c)) for s, c in shingle_sets(group.column("text").take(pa.array(used)))]
+            if len(x) > 4 * len(used):
+                low = common_weights(sets)[x, y]
+                w = weight[used]
+                sim = low / np.maximum(w[x] + w[y] - low, 1e-300)
+                for k in np.flatnonzero(np.abs(sim - threshold) < 1e-4):
+                    sim[k] = m.similarity(sets[x[k]], sets[y[k]])
+            else:
+                sim = np.array([m.similarity(sets[p], sets[q]) for p, q in zip(x, y)])
+            good = sim >= threshold
+            pairs = forest(len(used), x[good], y[good])
+            x, y = (used[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
+        return pa.table({"u": pa.array(np.maximum(ids[x], ids[y])), "v": pa.array(np.minimum(ids[x], ids[y]))})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "u bigint, v bigint").distinct()
 
@@ -168,9 +233,7 @@ def classes(docs: DataFrame, measure: Measure, threshold: float = 0.8, id_col: s
     found = scratch.write(components(linked, scratch))
     of = keys.select("key", "id").join(found, keys["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key", "n")
-    left = open_pairs(of.join(reps, "id"), sizes, threshold, measure.bands * measure.rows)
-    pairs = scratch.write(left.join(star, ["u", "v"], "left_anti"))
-    more = scratch.write(verified(pairs, texts, measure, threshold).select("u", "v"))
+    more = scratch.write(open_links(of.join(sizes.select("key"), "key", "left_semi").join(reps, "id").join(texts, "id"), sizes, measure, threshold))
     if not more.isEmpty():
         found = scratch.write(components(found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, sampled
+from .common import Scratch, components, forest, sampled
 
 BLOCK = 2048
 _SLACK = 1e-5  # above the rounding of single precision in the tests; the cosine itself has none
@@ -95,24 +95,6 @@ def _units(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Those of the links (a[i], b[i]) that a union-find needs to join what they join."""
-    parent, used = list(range(n)), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            used.append((x, y))
-    return used
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", most_lists: int = 4096, per_list: int = 256, subspaces: int = 8, codes: int = 256, fit_rows: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """id, ``n_links``, ``component_id`` and ``kept`` of every row.
 
@@ -217,11 +199,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                 m, n = np.nonzero(close[np.ix_(some, cols)] & (cosine >= threshold))
                 np.add.at(counts, q[m], copies[y[n]])
                 np.add.at(counts, y[n], copies[q[m]])
-                used = np.array(_forest(len(g), q[m], y[n]), np.int64).reshape(-1, 2)
+                used = np.array(forest(len(g), q[m], y[n]), np.int64).reshape(-1, 2)
                 us.append(used[:, 0])
                 vs.append(used[:, 1])
         ids, hit = g["id"].to_numpy(), np.flatnonzero(counts)
-        forest = np.array(_forest(len(g), np.concatenate(us), np.concatenate(vs)), np.int64).reshape(-1, 2)
+        forest = np.array(forest(len(g), np.concatenate(us), np.concatenate(vs)), np.int64).reshape(-1, 2)
         return pa.table({
             "u": pa.array(np.concatenate([ids[hit], ids[forest[:, 0]]])),
             "v": pa.array(np.concatenate([ids[hit], ids[forest[:, 1]]])),
