@@ -203,11 +203,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                 us.append(used[:, 0])
                 vs.append(used[:, 1])
         ids, hit = g["id"].to_numpy(), np.flatnonzero(counts)
-        forest = np.array(forest(len(g), np.concatenate(us), np.concatenate(vs)), np.int64).reshape(-1, 2)
+        tree = np.array(forest(len(g), np.concatenate(us), np.concatenate(vs)), np.int64).reshape(-1, 2)
         return pa.table({
-            "u": pa.array(np.concatenate([ids[hit], ids[forest[:, 0]]])),
-            "v": pa.array(np.concatenate([ids[hit], ids[forest[:, 1]]])),
-            "n": pa.array(np.concatenate([counts[hit], np.zeros(len(forest), np.int64)])),
+            "u": pa.array(np.concatenate([ids[hit], ids[tree[:, 0]]])),
+            "v": pa.array(np.concatenate([ids[hit], ids[tree[:, 1]]])),
+            "n": pa.array(np.concatenate([counts[hit], np.zeros(len(tree), np.int64)])),
         })
 
     found = scratch.write(own.unionByName(come).groupBy(*place_of, "kind", "i", "j").applyInArrow(compare, "u bigint, v bigint, n bigint"))
