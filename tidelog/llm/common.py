@@ -76,20 +76,18 @@ class Scratch:
 # --- neighbours in a total order ---------------------------------------------------------------
 
 
-def in_order(df: DataFrame, order: list[str], keys: DataFrame | None = None, before: bool = False, after: bool = True, per_sample: int = 64) -> DataFrame:
-    """Rows dealt to partitions by ranges of ``order`` and sorted in them, with borrowed neighbours.
-
-    Each partition also gets the first row of the next non-empty one (``after``) and the last row
-    of the one before (``before``), so a pass over a sorted partition sees every row's neighbours
-    and no row's neighbours depend on the partitioning. Adds ``part`` and ``own`` (false for a
-    borrowed row). Only keys go to the driver: a bounded sample for the bounds, then one first and
-    one last key for each partition. ``order`` must be a total order (repeated keys stay together
-    and are then told apart by the columns of ``order`` only); nulls come first.
-
-    ``keys``: the order columns from a cheaper plan, if df's own is costly.
+def assigned(df: DataFrame, order: list[str], before: bool = False, after: bool = True, per_sample: int = 64) -> DataFrame:
+    """Rows with the range of ``order`` they belong to, and borrowed neighbours.
+
+    Each range also gets the first row of the next non-empty one (``after``) and the last row of the
+    one before (``before``), so a pass over a sorted range sees every row's neighbours and no row's
+    neighbours depend on the partitioning. Adds ``part`` and ``own`` (false for a borrowed row).
+    Only keys go to the driver: a bounded sample for the bounds, then one first and one last key for
+    each range. ``order`` must be a total order (rows that repeat a key stay together); nulls come
+    first. Costly columns are best made after this, so that they are made once.
     """
     spark, n = df.sparkSession, partitions(df.sparkSession)
-    keys = (df if keys is None else keys).select(*order)
+    keys = df.select(*order)
     sample = sorted((tuple(r) for r in sampled(keys.withColumn("__k", F.concat_ws("\x00", *[F.col(c).cast("string") for c in order])), "__k", per_sample * n, 7).drop("__k").collect()), key=_null_first)
     bounds = sorted({sample[i * len(sample) // n] for i in range(1, n)}, key=_null_first) if sample else []
     at = _range_of(bounds)(F.struct(*order))
@@ -113,7 +111,12 @@ def in_order(df: DataFrame, order: list[str], keys: DataFrame | None = None, bef
             on = on & m
         lent = dealt.join(F.broadcast(extra), on).select(*df.columns, F.col("target").alias("part"), F.lit(False).alias("own"))  # at most two rows a partition
         dealt = dealt.unionByName(lent)
-    return dealt.repartitionById(max(1, len(bounds) + 1), F.col("part")).sortWithinPartitions("part", *order, F.desc("own"))
+    return dealt
+
+
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Assigned rows dealt out, a range to a partition, and sorted there."""
+    return rows.repartitionById(partitions(rows.sparkSession), F.col("part")).sortWithinPartitions("part", *order)
 
 
 def _null_first(key) -> tuple:

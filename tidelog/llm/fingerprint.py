@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lsh, textvec
-from .common import in_order
+from .common import assigned, in_order
 
 _AT_ONCE = 1 << 15
 
@@ -104,7 +104,7 @@ def edits(docs: DataFrame, measure: MinHash | None = None, id_col: str = "doc_id
     least = docs.agg(F.min(id_col).alias("m"), F.count(F.when(F.col(id_col).isNull(), 1)).alias("n")).first()
     first_rows = rows.where(F.col("id").isNull() if least["n"] else F.col("id").eqNullSafe(F.lit(least["m"]).cast(kind)))
     first = spark.sparkContext.broadcast((first_rows.agg(F.min("text").alias("t")).first() or {"t": ""})["t"] or "")  # one text
-    dealt = in_order(rows, ["id"])
+    dealt = in_order(assigned(rows, ["id"]), ["id", "text"])
     schema = f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     step = 256
@@ -151,4 +151,4 @@ def edits(docs: DataFrame, measure: MinHash | None = None, id_col: str = "doc_id
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    return dealt.select("part", "own", "id", "text").sortWithinPartitions("part", "id", "text").mapInArrow(run, schema)
+    return dealt.select("part", "own", "id", "text").mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_order
+from .common import assigned, in_order
 
 # Elements of HTML by what they mean here.
 _RAW = "script style noscript template textarea svg math iframe object canvas select title head"
@@ -157,10 +157,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Only blocks are shuffled, not markup; other columns are not read.
     """
     host, path = host_path(url_col)
-    keys = pages.select(host.alias("host"), path.alias("path"), F.col(id_col).alias("id"))
     chosen = pages.select(host.alias("host"), path.alias("path"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()
 
+    placed = assigned(chosen, ["host", "path", "id"], before=True, after=True)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
@@ -171,10 +172,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     kept = [(x, y) for x, y in zip(t, p) if y != OUT]
                     texts.append([x for x, _ in kept])
                     places.append("".join(y for _, y in kept))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.string())], ["host", "path", "id", "url", "blocks", "places"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 3, 5, 6)), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.string())], ["host", "path", "id", "url", "part", "own", "blocks", "places"])
 
-    parsed = chosen.mapInArrow(parse, f"host string, path string, id {kind}, url string, blocks array<string>, places string")
-    dealt = in_order(parsed, ["host", "path", "id"], keys, before=True, after=True)
+    parsed = placed.select("host", "path", "id", "url", "html", "part", "own").mapInArrow(parse, f"host string, path string, id {kind}, url string, part int, own boolean, blocks array<string>, places string")
+    dealt = in_order(parsed, ["host", "path", "id"])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decided(prev: dict | None, row: dict, nxt: dict | None) -> str:
