@@ -54,8 +54,9 @@ class Slice(InputPartition):
 
 class FrameReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.path, self.options = options["path"], options
-        self.per_batch = int(options.get("maxRecordsPerBatch", 500))
+        self.options = {k.lower(): v for k, v in options.items()}  # Spark lowers the names of options
+        self.path = self.options["path"]
+        self.per_batch = int(self.options.get("maxrecordsperbatch", 500))
         self.at, self.confirmed = 0, 0
 
     def initialOffset(self) -> dict:
@@ -90,10 +91,10 @@ class FrameReader(DataSourceStreamReader):
             if problems:
                 raise ContractError("; ".join(problems))
 
-        now = datetime.fromisoformat(self.options["ingestedAt"]) if "ingestedAt" in self.options else datetime.now(timezone.utc)
+        now = datetime.fromisoformat(self.options["ingestedat"]) if "ingestedat" in self.options else datetime.now(timezone.utc)
         check = refuse if self.options.get("contracts", "on") == "on" else None
         frames = (f for f in read_frames(self.path))
-        for end, r in records(frames, Decoder(), self.options.get("source", "postgres"), self.options.get("systemId", "0"), now, check):
+        for end, r in records(frames, Decoder(), self.options.get("source", "postgres"), self.options.get("systemid", "0"), now, check):
             if end > partition.end:
                 return
             if end > partition.start:
