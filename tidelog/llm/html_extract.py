@@ -30,6 +30,8 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _CHROME = frozenset("nav header footer aside form button menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+_ENDS_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+_ENDS_ITSELF = frozenset("li dd dt tr option".split())
 #: Words in class, id or role that mark a container as no part of the article.
 _CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
@@ -72,7 +74,7 @@ def blocks(page: str | None) -> tuple[list[str], str]:
             now.append(page[at : m.start()])
         at = m.end()
         name = m[2].lower()
-        if name in _INLINE and not (m[3] and _MARKS.search(m[3])):
+        if name in _INLINE and not opened[name] and not (m[3] and _MARKS.search(m[3])):
             if name == "br":
                 now.append(" ")
             continue
@@ -88,6 +90,10 @@ def blocks(page: str | None) -> tuple[list[str], str]:
             elif name not in _INLINE:
                 end_block()
             continue
+        if stack and ((stack[-1][0] == "p" and name in _ENDS_P) or (stack[-1][0] == name and name in _ENDS_ITSELF)):
+            end_block()  # its end tag was left out
+            opened[stack.pop()[0]] -= 1
+            place = stack[-1][1] if stack else OPEN
         inside = place
         if place != OUT:
             words = {w for x in _MARKS.findall(m[3]) for w in _WORD.findall(x.lower())} if m[3] else set()
@@ -101,7 +107,7 @@ def blocks(page: str | None) -> tuple[list[str], str]:
                 inside = IN
         if name not in _INLINE or inside != place:
             end_block()
-        tracked = name in ("div", "section", "ul", "ol", "table", "td") or inside != place
+        tracked = name in ("div", "section", "ul", "ol", "table", "td") or inside != place or opened[name] > 0
         if tracked and name not in _VOID and not m[3].rstrip().endswith("/"):
             stack.append((name, inside))
             opened[name] += 1
