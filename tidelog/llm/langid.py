@@ -24,10 +24,14 @@ from .common import sampled
 
 BITS = 18
 ORDERS = 3
-_LETTER = re.compile(r"[^\W\d_]").search
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]").finditer  # also numerals such as ² and Ⅷ
 _STEPS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAY_BE_LETTER(text))
+
+
 def presence(text: str, room: np.ndarray) -> int:
     """Marks the buckets of a text's n-grams in ``room`` (cleared first) and returns their number."""
     room[:] = False
@@ -109,7 +113,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             out = []
             for text in batch.column(3).to_pylist():
                 presence(text, room)
-                out.append(np.flatnonzero(room).astype(np.int32).tobytes() if _LETTER(text) else None)
+                out.append(np.flatnonzero(room).astype(np.int32).tobytes() if has_letter(text) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["order", "id", "lang", "buckets"])
 
     got = picked.select("order", F.col("id").cast("string").alias("id"), "lang", "text").mapInArrow(run, "order bigint, id string, lang string, buckets binary").where("buckets is not null").collect()
@@ -135,7 +139,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for a in range(0, whole.num_rows, batch):
                 part = whole.slice(a, batch)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                told = [i for i, t in enumerate(texts) if m.langs and t is not None and _LETTER(t)]
+                told = [i for i, t in enumerate(texts) if m.langs and t is not None and has_letter(t)]
                 langs, score = ["und"] * len(texts), [0.0] * len(texts)
                 if told:
                     values = m.scores([texts[i] for i in told])
