@@ -93,6 +93,10 @@ def test_language_of_awkward_tables(spark, awkward):
     assert {r["lang_pred"] for r in langid.predict(awkward, langid.train(empty)).collect()} == {"und"}
 
 
+def test_letters_are_told_from_numerals():
+    assert [langid.has_letter(t) for t in ("", "² ½ 12_", "Ⅷ", "² é", "日")] == [False, False, False, True, True]
+
+
 def test_kernel_values_are_those_of_gram_sets():
     a, b = "banana band", "band of ants"
     room = np.zeros(1 << langid.BITS, bool)
@@ -329,6 +333,9 @@ def test_extracted_articles(spark):
     assert [got[i]["text"] for i in (2, 3, 4)] == ["one body", "two body", "three body"]
     assert got[5]["text"] == got[6]["text"] == "" and got[8]["text"] == "cut off he" and all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_extract.extract(df.limit(0)).count() == 0
+    inner = '<div><article><p>a <span class="ad">x <span>y</span> z</span> b</p><p class="share">s<p>c</p><ul><li class="promo">d<li>e</ul><a class="related">r</a><p>f</p></article></div>'
+    kept = [(b, p) for b, p in zip(*html_extract.blocks(inner))]
+    assert [b for b, p in kept if p == html_extract.IN] == ["a", "b", "c", "e", "f"]
     assert rows(html_extract.extract(df.repartition(1))) == rows(html_extract.extract(df.repartition(8)))
 
 
