@@ -4,8 +4,10 @@ Vectors of unit length are dealt to coarse inverted lists; each is stored as cod
 of its residual, with the length of what the codes miss. A pair of cosine at least t is at most
 r = sqrt(2 - 2t) apart, from which three tests follow that no such pair fails:
 
-* probes: a vector within r of y can lie in another list only if y is within r of the plane
-  between the two centroids, and no farther from that centroid than r and the list's radius;
+* probes: x in list j is no farther from centroid j than from any other, and so than from any few
+  others in the mean of squares. That difference is linear in x, so y within r of x passes it with a
+  margin of 2r times the distance from centroid j to the few's mean. y is tested against its nearest
+  one, two and four centroids, and must be no farther from centroid j than r and the list's radius;
 * codes: the table-lookup distance from y to the coded x is at most r and what x's codes miss;
 * the exact cosine, in double precision.
 
@@ -83,9 +85,12 @@ class Index:
     def probes(self, x: np.ndarray, at: np.ndarray, radii: np.ndarray, r: float) -> np.ndarray:
         """Which lists other than its own may hold a vector within r of each of x."""
         d2 = _squares(x, self.coarse)
-        own = d2[np.arange(len(x)), at]
-        gap = np.sqrt(_squares(self.coarse, self.coarse))[at]
-        near = (d2 - own[:, None] <= 2 * r * gap + _SLACK) & (np.sqrt(d2) <= radii + r + _SLACK)
+        near = np.sqrt(d2) <= radii + r + _SLACK
+        nearest = np.argsort(d2, 1)[:, :4]
+        for few in (nearest[:, :m] for m in (1, 2, 4)):
+            beyond = d2 - np.take_along_axis(d2, few, 1).mean(1)[:, None]
+            gap = np.sqrt(_squares(self.coarse[few].mean(1), self.coarse) + _SLACK)
+            near &= beyond <= 2 * r * gap + _SLACK
         near[np.arange(len(x)), at] = False
         return near
 
@@ -95,7 +100,7 @@ def _units(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", most_lists: int = 4096, per_list: int = 256, subspaces: int = 8, codes: int = 256, fit_rows: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", most_lists: int = 4096, per_list: int = 512, subspaces: int = 8, codes: int = 256, fit_rows: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """id, ``n_links``, ``component_id`` and ``kept`` of every row.
 
     Rows link if their labels are equal and not null, their vectors of equal length, and the cosine
@@ -103,7 +108,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     components links with nothing: no links, its own component. Rows that repeat an id are rows of
     their own, and link. An empty table gives an empty result; other columns are not read.
     Centroids and codebooks are fitted on a bounded sample (``fit_rows``); every vector is indexed,
-    and the tests lose no link, whatever the sample. No label, list or group is capped.
+    and the tests lose no link, whatever the sample. The number of lists follows from how many
+    vectors share a label with a vector in the mean, as only those are compared: about ``per_list``
+    of a label are in a list. No label, list or group is capped.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
@@ -121,12 +128,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     chosen = groups.select(F.col("rep").alias("id"), "label", "h1", "h2", "copies")
     reps = scratch.write(valid.join(chosen, ["id", "label", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"]).select("id", "label", "copies", F.size("v").alias("dim"), packed("v").alias("v")))
 
-    dims = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vector
+    sizes = reps.groupBy("dim", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    dims = sizes.groupBy("dim").agg(F.sum("n").cast("long").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("peers")).collect()  # a row for each length of vector
     index = {}
-    for dim, n in dims.items():
+    for dim, n, peers in dims:
         got = sampled(reps.where(F.col("dim") == dim).select("id", "v"), "id", fit_rows, 9, n).collect()
         raw = [bytes(r["v"]) for r in sorted(got, key=lambda r: (r["id"], bytes(r["v"])))] or [np.eye(1, dim).tobytes()]
-        index[dim] = Index.fit(_units(raw)[1], int(min(most_lists, max(1, n // per_list))), subspaces, codes)
+        index[dim] = Index.fit(_units(raw)[1], int(min(most_lists, max(1, peers // per_list))), subspaces, codes)
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +151,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     radii = {(r["dim"], r["cell"]): r["far"] for r in placed.groupBy("dim", "cell").agg(F.max("far").alias("far")).collect()}  # a row for each list
     spread = {dim: np.array([radii.get((dim, c), -10.0) for c in range(len(ix.coarse))], np.float32) for dim, ix in index.items()}
     widths = spark.sparkContext.broadcast(spread)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _SLACK
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold) + _SLACK))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
