@@ -339,6 +339,23 @@ def test_extracted_articles(spark):
     assert rows(html_extract.extract(df.repartition(1))) == rows(html_extract.extract(df.repartition(8)))
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><p>one <svg class="i"/> two</p><p>three</p></article>', ["one two", "three"]),
+        ("<article><p>a <math/>b</p><svg><title/><style/><path/></svg><p>c</p></article>", ["a b", "c"]),
+        ("<html><head><title>t</title><article><p>one</p></article>", ["one"]),
+        ("<!--" + "x" * 5000 + "--><head><title>t</title><meta a='</head>'></head><article><p>one</p></article>", ["one"]),
+        ("<article><p>a <object data=x>b</p><p>c</p><canvas><p>d</p></article>", ["a b", "c", "d"]),
+        ("<article><select><option>x<option>y<p>a</p><svg><text>z</text><p>b</p></article>", ["a", "b"]),
+        ("<article><svg><svg>x</svg>y</svg><p>a</p><svg>q</svg><object>r</object><select><option>s</select><p>b</p></article>", ["a", "b"]),
+        ("<article><p>a</p><script>'<svg>'</script><p>b</p><title-card>c</title-card><style>d", ["a", "b", "c"]),
+    ],
+)
+def test_elements_closed_by_themselves_or_left_open_keep_what_follows(html, want):
+    assert html_extract.blocks(html)[0] == want
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     r = np.random.default_rng(2)
     for _ in range(200):

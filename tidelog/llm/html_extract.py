@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import assigned, in_order
 
 # Elements of HTML by what they mean here.
-_RAW = "script style noscript template textarea svg math iframe object canvas select title head"
+_RAW = "script style noscript textarea iframe title"  # run to their end tag or the end of the page
+_NESTED = "svg math template object canvas select"  # may close themselves, hold their like or be left open
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CHROME = frozenset("nav header footer aside form button menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
@@ -38,8 +39,15 @@ _CHROME_WORDS = frozenset(
 )
 _MAIN_WORDS = frozenset("main article".split())
 
-_RAW_ELEMENT = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW.split()) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
+_ATTRIBUTES = r"""(?=[\s/>])(?:(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>"""
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW.split()) + ")" + _ATTRIBUTES + r"|<(?P<end>/?)(?P<nested>" + "|".join(_NESTED.split()) + ")" + _ATTRIBUTES + r"|<![^>]*>|<\?[^>]*>", re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW.split()}
+#: The first tag that an open drawing or list of options cannot hold.
+_LEAVES = {
+    "svg": re.compile(r"</?(?:address|article|aside|b|big|blockquote|body|br|center|code|dd|details|div|dl|dt|em|figure|footer|form|h[1-6]|header|hr|html|i|img|li|main|menu|nav|ol|p|pre|section|small|span|strong|sub|sup|table|tbody|td|th|tr|tt|u|ul|var)(?=[\s/>])", re.I),
+    "select": re.compile(r"</?(?!(?:option|optgroup)[\s/>])[a-z]", re.I),
+}
+_LEAVES["math"] = _LEAVES["svg"]
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -49,11 +57,56 @@ _SPACES = re.compile(r"\s+")
 IN, OUT, OPEN = "i", "o", "u"
 
 
+def shown(page: str) -> str:
+    """The page without comments, declarations and elements whose text it does not show.
+
+    What stands in a head and is not dropped here has no text; text or an element that may not stand
+    there ends the head. Nested elements are paired by their tags. One without an end tag hides its
+    own kind of content only: a drawing or list of options ends at the first tag that it cannot
+    hold, of the others the tag alone goes.
+    """
+    drops: list[tuple[int, int]] = []
+    stack: list[tuple[str, int, int]] = []  # open nested elements: (name, start, end) of their tags
+    m = _DROPPED.search(page)
+    while m:
+        end = m.end()
+        itself = page[end - 2] == "/"
+        if m["raw"]:
+            drawn = next((x for x in reversed(stack) if x[0] in ("svg", "math")), None) if itself else None
+            if not (drawn and not _LEAVES["svg"].search(page, drawn[2], m.start())):  # in a drawing it may close itself
+                last = _RAW_END[m["raw"].lower()].search(page, end)
+                end = last.end() if last else len(page)
+        elif m["nested"]:
+            name = m["nested"].lower()
+            if m["end"]:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                if k is not None:
+                    drops.append((stack[k][1], end))
+                    del stack[k:]
+            elif not (itself and name in ("svg", "math")):
+                stack.append((name, m.start(), end))
+        drops.append((m.start(), end))
+        m = _DROPPED.search(page, end)
+    hidden = 0
+    for name, start, end in stack:
+        if name in _LEAVES and start >= hidden:
+            last = _LEAVES[name].search(page, end)
+            hidden = last.start() if last else len(page)
+            drops.append((start, hidden))
+    parts, at = [], 0
+    for start, end in sorted(drops):
+        if start > at:
+            parts.append(page[at:start])
+        at = max(at, end)
+    parts.append(page[at:])
+    return " ".join(parts)
+
+
 def blocks(page: str | None) -> tuple[list[str], str]:
     """Blocks of a page in order, references decoded and white space made one, and their places (a letter each)."""
     if not page:
         return [], ""
-    page = _RAW_ELEMENT.sub(" ", _HEAD.sub(" ", page, count=1) if "<head" in page[:4096].lower() else page)
+    page = shown(page)
     texts: list[str] = []
     places: list[str] = []
     now: list[str] = []
