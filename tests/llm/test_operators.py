@@ -356,6 +356,19 @@ def test_elements_closed_by_themselves_or_left_open_keep_what_follows(html, want
     assert html_extract.blocks(html)[0] == want
 
 
+def test_words_of_marks_inside_an_article():
+    inner = '<article><h2 id="related-work">a</h2><section id="social-impact"><p>b</p></section><h3 class="header">c</h3><p data-id="ad">d</p><p title="my id=ad">e</p><div class="header">f</div>%s</article>'
+    got = html_extract.blocks(inner % '<p class="notice">g</p><div class="share-bar"><h4 id="search">h</h4><p>i</p></div><div class="box related">j</div><ul role="navigation"><li>k</ul><p>l</p>')
+    want = {**dict.fromkeys("abcdefl", html_extract.IN), **dict.fromkeys("ghi", html_extract.OPEN), **dict.fromkeys("jk", html_extract.OUT)}
+    assert dict(zip(*got)) == want and len(got[0]) == len(want)
+
+
+def test_neighbours_decide_on_marked_parts_of_an_article(spark):
+    body = '<article><p class="notice">Mind {0}</p><div class="share-bar"><p>Share this</p></div><section id="social-impact"><p>{0}</p></section></article>'
+    df = spark.createDataFrame([(i, f"http://h.example/a/{i}", body.format(w)) for i, w in enumerate(("one", "two", "six"))], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {i: f"Mind {w}\n{w}" for i, w in enumerate(("one", "two", "six"))}
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     r = np.random.default_rng(2)
     for _ in range(200):

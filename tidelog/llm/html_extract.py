@@ -8,6 +8,8 @@ Differencing alone deletes the article of a page whose neighbour carries a copy
 passage of it, and keeps an advert that only one page shows. So it decides on those blocks only
 whose place in the markup does not: blocks inside an article or main element stay; blocks inside
 navigation, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go.
+Inside an article only a container whose class or role is such a word goes by its name; where the
+word is part of a longer one, or marks a smaller element, differencing decides; ids say nothing.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ _CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 _MAIN_WORDS = frozenset("main article".split())
+_CONTAINERS = frozenset("div section ul ol".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _ATTRIBUTES = r"""(?=[\s/>])(?:(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>"""
 _DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW.split()) + ")" + _ATTRIBUTES + r"|<(?P<end>/?)(?P<nested>" + "|".join(_NESTED.split()) + ")" + _ATTRIBUTES + r"|<![^>]*>|<\?[^>]*>", re.S | re.I)
@@ -49,12 +53,31 @@ _LEAVES = {
 }
 _LEAVES["math"] = _LEAVES["svg"]
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_MARKS = re.compile(r"(?:class|id|role)\s*=", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
 #: Where a block stands: in the article, in a container that is no part of it, or in neither.
 IN, OUT, OPEN = "i", "o", "u"
+_DOUBT = "d"  # in a marked part of an article: its blocks are OPEN
+
+
+def marks(attributes: str) -> list[tuple[str, str]]:
+    """(name, value) of the attributes that mark an element, in lower case."""
+    if not _MARKS.search(attributes):
+        return []
+    return [(name.lower(), value.strip("\"'").lower()) for name, value in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")]
+
+
+def _in_article(name: str, marked: list[tuple[str, str]], place: str) -> str:
+    """The place within an element of an article that carries marks. A container's own header is the article's."""
+    tokens = {t for kind, value in marked if kind != "id" for t in value.split()} - {"header"}
+    if name in _HEADINGS:
+        return place
+    if tokens & _CHROME_WORDS:
+        return OUT if name in _CONTAINERS else _DOUBT
+    return _DOUBT if name in _CONTAINERS and any(w in _CHROME_WORDS for t in tokens for w in _WORD.findall(t)) else place
 
 
 def shown(page: str) -> str:
@@ -119,7 +142,7 @@ def blocks(page: str | None) -> tuple[list[str], str]:
             text = _SPACES.sub(" ", html.unescape("".join(now))).strip()
             if text:
                 texts.append(text)
-                places.append(place)
+                places.append(OPEN if place == _DOUBT else place)
             now.clear()
 
     for m in _TAG.finditer(page):
@@ -127,7 +150,7 @@ def blocks(page: str | None) -> tuple[list[str], str]:
             now.append(page[at : m.start()])
         at = m.end()
         name = m[2].lower()
-        if name in _INLINE and not opened[name] and not (m[3] and _MARKS.search(m[3])):
+        if name in _INLINE and not opened[name] and not (m[3] and marks(m[3])):
             if name == "br":
                 now.append(" ")
             continue
@@ -149,11 +172,14 @@ def blocks(page: str | None) -> tuple[list[str], str]:
             place = stack[-1][1] if stack else OPEN
         inside = place
         if place != OUT:
-            words = {w for x in _MARKS.findall(m[3]) for w in _WORD.findall(x.lower())} if m[3] else set()
-            if name in _CHROME and not (place == IN and name == "header"):
+            marked = marks(m[3]) if m[3] else []
+            words = {w for _, x in marked for w in _WORD.findall(x)}
+            if name in _CHROME and not (place in (IN, _DOUBT) and name == "header"):
                 inside = OUT
             elif name in _MAIN:
                 inside = IN
+            elif place in (IN, _DOUBT):
+                inside = _in_article(name, marked, place)
             elif words & _CHROME_WORDS and name not in ("html", "body"):
                 inside = OUT
             elif words & _MAIN_WORDS and name in ("div", "section"):
