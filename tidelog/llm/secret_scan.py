@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``hint``: texts that hold none of these (in lower case) cannot match."""
+    """A kind of secret. ``hint``: texts that hold none of these (in lower case) cannot match. ``span``: the group that is the finding."""
 
     kind: str
     pattern: str
@@ -28,6 +28,7 @@ class Rule:
     group: int = 0
     any_case: bool = False
     hint: tuple[str, ...] = ()
+    span: int = 0
 
 
 #: The base rules, in the order in which ties of spans are listed (fixed values of the contract).
@@ -37,13 +38,23 @@ BASE = (
     Rule("hex", r"[0-9a-f]{32,}", 32),  # a run of 32 or more is the same match as a run of which 32 are required
 )
 
+#: A private key: to the END line of its kind, or else over the header fields and lines of base64 that follow, of which the last may be short.
+_BREAK = r"(?:\s|\\[rn])"
+_LINE, _ENDS = r"[\x20\t]*+(?:\r?\n|\\[rn])++[\x20\t]*+", r"""(?=[\x20\t]*+(?:\r?\n|\\[rn]|["'`<\\]|\Z))"""
+_KEY = (
+    r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY( BLOCK|)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY\2-----"
+    rf"|(?:(?:{_BREAK}++[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+)++(?:{_LINE}[A-Za-z0-9+/]++={{0,2}}+{_ENDS})?+(?:{_LINE}=[A-Za-z0-9+/]{{4}}{_ENDS})?+)?)"
+)
+#: The start of a scheme: the first letter after a word's edge in a run of its characters, from which the whole run is read once.
+_SCHEME = r"(?<![A-Za-z0-9+.-])(?:(?:(?<=_)|(?![A-Za-z]))[A-Za-z0-9]*+(?:[+.-]++(?:[0-9][A-Za-z0-9]*+)?+)*+)?+"
+
 #: Further kinds that this scan adds.
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, False, ("private key",)),
+    Rule("pem", _KEY, 0, 0, False, ("private key",)),
     Rule("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False, ("gh",)),
     Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, False, ("xox",)),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 0, False, ("eyj",)),
-    Rule("url", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{3,200}@", 0, 0, False, ("://",)),
+    Rule("url", _SCHEME + r"([A-Za-z][A-Za-z0-9+.-]++://[^\s/:@]++:[^\s/:@]{3,}+@)", 0, 0, False, ("://",), 1),
 )
 
 RULES = BASE + ADDED
@@ -56,15 +67,15 @@ def version_of(rules: tuple[Rule, ...] = RULES) -> str:
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.rules = [(r.kind, re.compile(r.pattern, re.ASCII | re.IGNORECASE if r.any_case else re.ASCII), r.least, r.group, r.hint) for r in rules]
+        self.rules = [(r.kind, re.compile(r.pattern, re.ASCII | re.IGNORECASE if r.any_case else re.ASCII), r.least, r.group, r.hint, r.span) for r in rules]
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) of all findings by start, then kind in the rules' order; code points, end exclusive."""
         low, found = text.lower(), []
-        for k, (kind, pattern, least, group, hint) in enumerate(self.rules):
+        for k, (kind, pattern, least, group, hint, span) in enumerate(self.rules):
             if hint and not any(h in low for h in hint):
                 continue
-            found += [(m.start(), k, kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
+            found += [(m.start(span), k, kind, m.end(span)) for m in pattern.finditer(text) if len(m[group]) >= least]
         return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
