@@ -38,11 +38,11 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix passes over it, rounded: not at all, once or twice."""
+    """Each row as often as the mix passes over it, rounded: not at all, once or twice; with or without an id, or a repeated one."""
     ship(spark)
-    mixed = mixing.mix(docs, F.array("source"), MIX_WEIGHTS, MIX_TOTAL, MIX_MOST).where("passes > 0 and doc_id is not null")
-    passes = mixed.groupBy("doc_id").agg(F.max("passes").alias("__passes"))
-    return docs.join(passes.hint("shuffle_hash"), "doc_id").withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    mixed = mixing.mix(rows, F.array("source"), MIX_WEIGHTS, MIX_TOTAL, MIX_MOST, keep=("row",)).where("passes > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

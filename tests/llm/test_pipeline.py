@@ -80,3 +80,16 @@ def test_each_stage_on_its_input(spark, data):
 def test_run_equals_its_stages_and_itself(spark):
     a, b = (rows(corpus_pipeline.run(spark, SMALL).select("doc_id", "n_tokens", "decoded_sha256")) for _ in range(2))
     assert a == b and len(a) > 50
+
+
+def test_mixing_keeps_rows_without_an_id_and_passes_of_each_row(spark):
+    data = [(None, f"n{i} " * (10 + i % 7), "en", "a") for i in range(300)] + [(i % 40, f"{i} " * (10 + i % 5), "en", "ab"[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
+    got = corpus_pipeline.mix_sources(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    passes = {t: n for t, n in mixing.mix(docs, F.array("source"), queries.MIX_WEIGHTS, queries.MIX_TOTAL, queries.MIX_MOST, keep=("text",)).select("text", "passes").collect() if n}
+    counts = {r["text"]: r["count"] for r in got.groupBy("text").count().collect()}
+    assert counts == passes and sum(t in counts for i, t, _, _ in data if i is None) > 100
+    words = sum(n * len(t.split()) for t, n in counts.items())
+    assert abs(words - 1.5 * sum(len(t.split()) for _, t, _, _ in data)) < 60
+    assert rows(got) == rows(corpus_pipeline.mix_sources(spark, docs.repartition(7), SMALL))

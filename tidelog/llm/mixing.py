@@ -105,8 +105,8 @@ def sizes(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float, most: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """How many words of each document a mix takes: id, sources, size, source_size, target, taken, plus ``passes``.
+def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float, most: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """How many words of each document a mix takes: id, sources, size, source_size, target, taken, plus ``passes`` and the columns in ``keep``.
 
     members: array<string> of the sources a document belongs to (a null in it is a source too; an
     empty or null array: none, nothing is taken). Sources are ordered by code point, null last, and
@@ -116,17 +116,20 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float
     its target, rounded, as far as overlapping sources allow: whole passes in a seeded order, and
     the words that still lack from one last document of a pattern.
 
-    Reruns agree, also on other partitionings, if ids are unique; rows with the same id share their
-    order and are cut together in an order of their size. Null texts have size 0. An empty table
-    gives an empty result. Only the named columns are read. To the driver go the words by pattern
-    and by pattern and bucket (BUCKETS rows a pattern, whatever the corpus).
+    Reruns agree, also on other partitionings; rows with the same id share their order and are cut
+    together in an order of their size and text. Rows without an id are ordered by their texts. Null
+    texts have size 0. An empty table gives an empty result. Only the named columns are read. To the
+    driver go the words by pattern and by pattern and bucket (BUCKETS rows a pattern, whatever the
+    corpus).
     """
     spark = docs.sparkSession
     canonical = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))), lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    rank = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
-    rows = sizes(docs, text_col, [F.col(id_col), canonical.alias("sources"), rank.alias("__rank")])
-    rows = rows.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__rank", 40), F.lit(BUCKETS)).cast("int"))
-    cells = [(tuple(r["sources"]), r["__bucket"], r["words"]) for r in rows.groupBy("sources", "__bucket").agg(F.sum("size").alias("words")).collect()]
+    rank = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
+    bucket_of = F.pmod(F.shiftrightunsigned("__rank", 40), F.lit(BUCKETS)).cast("int")
+    chosen = [F.col(id_col), canonical.alias("sources"), rank.alias("__rank")]
+    counted = sizes(docs, text_col, chosen).withColumn("__bucket", bucket_of)
+    rows = sizes(docs, text_col, [*chosen, F.xxhash64(text_col).alias("__tie"), *(F.col(c) for c in keep)]).withColumn("__bucket", bucket_of)
+    cells = [(tuple(r["sources"]), r["__bucket"], r["words"]) for r in counted.groupBy("sources", "__bucket").agg(F.sum("size").alias("words")).collect()]
     by_pattern: dict[tuple, dict[int, int]] = defaultdict(dict)
     for pattern, bucket, words in cells:
         by_pattern[pattern][bucket] = words
@@ -153,10 +156,10 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float
         plan.append((k, list(p), sum(source_sizes[at[s]] for s in p), float(sum(targets[at[s]] for s in p)), base, cut, left))
     schema = "__pattern int, __sources array<string>, source_size bigint, target double, __base bigint, __cut int, __left bigint"
     planned = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), F.col("sources").eqNullSafe(F.col("__sources")))  # a row for each pattern
-    order = Window.partitionBy("__pattern").orderBy("__rank", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("__pattern").orderBy("__rank", "size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     last = planned.where(F.col("__bucket") == F.col("__cut")).withColumn("__before", F.sum("size").over(order) - F.col("size"))
     rest = planned.where(F.col("__bucket") != F.col("__cut")).withColumn("__before", F.when(F.col("__bucket") < F.col("__cut"), F.lit(None)).otherwise(F.col("__left")))
     extra = F.coalesce(F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("__left") - F.col("__before"))), F.col("size"))
     out = last.unionByName(rest).withColumn("taken", F.col("__base") * F.col("size") + extra)
     passes = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.lit(0)).cast("int")
-    return out.select(id_col, "sources", "size", "source_size", "target", "taken", passes.alias("passes"))
+    return out.select(id_col, "sources", "size", "source_size", "target", "taken", passes.alias("passes"), *keep)
