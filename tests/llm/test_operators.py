@@ -293,6 +293,35 @@ def test_near_duplicate_classes_equal_brute_force(spark, texts, kind, monkeypatc
         assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_document_frequencies_are_exact(spark):
+    data = {i: f"a{i} b{i} c{i} d{i} e{i}" for i in range(6000)}  # one shingle each, some of equal top bits
+    data |= {6000: None, 6001: "a1 b1 c1 d1 e1 a2", 6002: "A1 b1 c1  d1 e1", 6003: " "}
+    docs = spark.createDataFrame([*data.items(), (None, data[5])], "id bigint, text string")
+    times = {1: 3, 5: 2, 6002: 3}
+    want = {i: math.log1p(6003 / times.get(i, 1)) for i in data if i not in (6000, 6001, 6003)}
+    want[6001] = math.log1p(6003 / 3) + math.log1p(6003)
+    told = {r["id"]: r for r in minhash_near.CorpusMeasure().signatures(docs).collect()}
+    ids = sorted(want)
+    m = minhash_near.WeightedMeasure(minhash_near.inverse_frequencies(docs))
+    for i, (s, c) in zip(ids, lsh.shingle_sets(pa.array([data[i] for i in ids]))):
+        assert abs(m.weights(s, c).sum() - want[i]) < 1e-4 and abs(told[i]["weight"] - want[i]) < 1e-4
+        assert told[i]["sig"] == m.signature(s, c).astype("<u4").tobytes()
+    assert set(told) == set(want)
+
+
+def test_bodies_give_the_similarity_of_the_whole_texts(spark, documents, texts):
+    docs = documents.select(F.col("doc_id").alias("id"), "text")
+    told = minhash_near.CorpusMeasure()
+    body = {r["id"]: r["body"] for r in told.signatures(docs).collect()}
+    m = minhash_near.WeightedMeasure(minhash_near.inverse_frequencies(docs))
+    ids = sorted(body)
+    whole = m.sets(pa.array([texts[i] for i in ids]))
+    short = told.sets(pa.array([bytes(body[i]) for i in ids], pa.binary()))
+    for i in range(len(ids)):
+        for j in range(max(0, i - 40), i):
+            assert abs(m.similarity(whole[i], whole[j]) - told.similarity(short[i], short[j])) < 1e-6
+
+
 def test_near_duplicates_of_awkward_tables(spark, awkward):
     got = minhash_near.near_duplicates(awkward.unionByName(awkward.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))))
     assert got.count() == len(AWKWARD) + 1

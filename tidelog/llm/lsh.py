@@ -40,6 +40,17 @@ class Measure:
     def weights(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def signatures(self, rows: DataFrame) -> DataFrame:
+        """What classes need of each row (id, text) that has an id and a word: see signatures."""
+        return signatures(rows.where("id is not null"), self, "id", "text")
+
+    def bodies(self, rows: DataFrame, sigs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(id, text) of the wanted ids, from which sets makes shingles and weights."""
+        return rows.join(wanted, "id").dropDuplicates(["id"])
+
+    def sets(self, texts) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(s, self.weights(s, c)) for s, c in shingle_sets(texts)]
+
     def similarity(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
         """Weighted Jaccard of (shingles, weights) of two documents: sum of minima over sum of maxima."""
         (x, v), (y, w) = a, b
@@ -55,6 +66,11 @@ def shingle_sets(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.unique(s, return_counts=True)
 
 
+def digest(shingles: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+    both = textvec.mix(shingles * np.uint64(0x9E3779B97F4A7C15) + counts.astype(np.uint64))
+    return int(both.sum().astype(np.int64)), int(textvec.mix(both ^ np.uint64(0xA5A5A5A5)).sum().astype(np.int64))
+
+
 def signatures(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, d1, d2 (digest of the shingles and counts), weight and signature of each text that has a word."""
     shared = docs.sparkSession.sparkContext.broadcast(measure)
@@ -66,10 +82,9 @@ def signatures(docs: DataFrame, measure: Measure, id_col: str = "doc_id", text_c
             for i, (s, c) in enumerate(shingle_sets(batch.column(1))):
                 if not len(s):
                     continue
-                both = textvec.mix(s * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
                 keep.append(i)
-                d1.append(int(both.sum().astype(np.int64)))
-                d2.append(int(textvec.mix(both ^ np.uint64(0xA5A5A5A5)).sum().astype(np.int64)))
+                for d, x in zip((d1, d2), digest(s, c)):
+                    d.append(x)
                 weight.append(float(m.weights(s, c).sum()))
                 sig.append(m.signature(s, c).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(weight, pa.float64()), pa.array(sig, pa.binary())], ["id", "d1", "d2", "weight", "sig"])
@@ -108,7 +123,7 @@ def verified(pairs: DataFrame, texts: DataFrame, measure: Measure, threshold: fl
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                left, right = ([(s, m.weights(s, c)) for s, c in shingle_sets(batch.column(k))] for k in (2, 3))
+                left, right = (m.sets(batch.column(k)) for k in (2, 3))
                 sim = [m.similarity(x, y) for x, y in zip(left, right)]
                 keep = pa.array([i for i, s in enumerate(sim) if s >= threshold], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(sim, pa.float64()).take(keep)], ["u", "v", "similarity"])
@@ -191,7 +206,7 @@ def open_links(members: DataFrame, sizes: DataFrame, measure: Measure, threshold
         if len(x):
             used, to = np.unique(np.concatenate([x, y]), return_inverse=True)
             x, y = to[: len(x)], to[len(x) :]
-            sets = [(s, m.weights(s, c)) for s, c in shingle_sets(group.column("text").take(pa.array(used)))]
+            sets = m.sets(group.column("text").take(pa.array(used)))
             if len(x) > 4 * len(used):
                 low = common_weights(sets)[x, y]
                 w = weight[used]
@@ -217,23 +232,23 @@ def classes(docs: DataFrame, measure: Measure, threshold: float = 0.8, id_col: s
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = scratch.write(signatures(rows.where("id is not null"), measure, "id", "text"))
+    sigs = scratch.write(measure.signatures(rows))
     chosen = sigs.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     member = scratch.write(sigs.join(chosen, ["d1", "d2"]).select("id", "rep"))
-    reps = scratch.write(sigs.join(chosen.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "weight", "sig"))
+    reps = scratch.write(sigs.join(chosen.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "d1", "d2", "weight", "sig").dropDuplicates(["id"]))
 
     keys = band_keys(reps, measure.bands, measure.rows)
     lead = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     keys = scratch.write(keys.join(lead.select("key", "lead"), "key"))
     star = scratch.write(keys.where("id != lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct())
     wanted = star.select(F.col("u").alias("id")).union(star.select("v")).distinct().hint("shuffle_hash")
-    texts = scratch.write(rows.join(wanted, "id").dropDuplicates(["id"]))
+    texts = scratch.write(measure.bodies(rows, sigs, reps, wanted))
 
     linked = scratch.write(verified(star, texts, measure, threshold).select("u", "v"))
     found = scratch.write(components(linked, scratch))
     of = keys.select("key", "id").join(found, keys["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key", "n")
-    more = scratch.write(open_links(of.join(sizes.select("key"), "key", "left_semi").join(reps, "id").join(texts, "id"), sizes, measure, threshold))
+    more = scratch.write(open_links(of.join(sizes.select("key"), "key", "left_semi").join(reps.select("id", "weight", "sig"), "id").join(texts, "id"), sizes, measure, threshold))
     if not more.isEmpty():
         found = scratch.write(components(found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch))
 

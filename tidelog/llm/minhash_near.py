@@ -5,11 +5,14 @@ consistent weighted sampling draws from each document shingle and quantised weig
 documents share with a probability equal to their weighted Jaccard similarity; the samples are
 banded, and candidates are verified by the exact weighted Jaccard similarity.
 
-Document frequencies are counted over all documents in 2^20 hashed cells: as the number of distinct
-shingles follows the corpus, exact counts would be a shuffle larger than the corpus, while the cells
-have a fixed size and still tell what many documents share. The gamma and uniform variables of the
-sampling come from a fixed table of 2^13 entries that each hash function addresses in its own way;
-where entries tie, the smaller shingle is drawn.
+Document frequencies are exact, of whole shingle hashes over all documents, and stay distributed:
+each group of documents sends its distinct shingles to slices by hash, a slice adds them up and
+answers each group with those that stand in more than one document. No others can be shared, so a
+document's body for verification is its repeated shingles with their weights, and one shingle with
+the weight of all the others.
+
+The gamma and uniform variables of the sampling come from a fixed table of 2^13 entries that each
+hash function addresses in its own way; where entries tie, the smaller shingle is drawn.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lsh, textvec
+from .common import partitions
 
 CELL_BITS = 20
-_SLICES = 64
+GROUP_BYTES = 6_000_000
+SLICE_BYTES = 24_000_000
 _TABLE_BITS = 13
 _AT_ONCE = 1 << 15
 
@@ -36,19 +41,40 @@ def _variables() -> tuple[np.ndarray, ...]:
     return tuple(x.astype(np.float32) for x in (r, 1 / r, np.log(c), u[4]))
 
 
+class Frequencies:
+    """Inverse document frequencies, log(1 + documents / documents with the shingle). keys: sorted shingles of more than one document."""
+
+    def __init__(self, documents: int, keys: np.ndarray, counts: np.ndarray):
+        self.documents, self.keys, self.counts = documents, keys, counts
+
+    def counts_of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(shingles), np.int64)
+        i = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        return np.where(self.keys[i] == shingles, self.counts[i], 1).astype(np.int64)
+
+    def inverse(self, counts: np.ndarray) -> np.ndarray:
+        return np.log1p(max(1, self.documents) / counts).astype(np.float32).astype(np.float64)
+
+
 class WeightedMeasure(lsh.Measure):
-    """TF-IDF weights and their consistent samples. idf: float32 by cell."""
+    """TF-IDF weights and their consistent samples. idf: Frequencies, or float32 by the top bits of a shingle."""
 
-    def __init__(self, idf: np.ndarray, bands: int = 14, rows: int = 3):
+    def __init__(self, idf: Frequencies | np.ndarray, bands: int = 14, rows: int = 3):
         self.idf, self.bands, self.rows = idf, bands, rows
         self.steps = textvec.seeded(43, bands * rows) | np.uint64(1)
         self.r, self.inverse, self.log_c, self.beta = _variables()
 
     def weights(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if isinstance(self.idf, Frequencies):
+            return counts * self.idf.inverse(self.idf.counts_of(shingles))
         return counts * self.idf[shingles >> np.uint64(64 - CELL_BITS)].astype(np.float64)
 
     def signature(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        log_w = np.log(self.weights(shingles, counts)).astype(np.float32)
+        return self.samples(shingles, self.weights(shingles, counts))
+
+    def samples(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        log_w = np.log(weights).astype(np.float32)
         block = max(1, _AT_ONCE // len(shingles))
         out = np.empty(len(self.steps), np.uint64)
         for j in range(0, len(self.steps), block):  # some hash functions at once, in cache
@@ -62,29 +88,115 @@ class WeightedMeasure(lsh.Measure):
         return textvec.mix(out) & np.uint64(0xFFFFFFFF)
 
 
-def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """log(1 + documents / documents with the cell), by cell, over all whole texts."""
+def _documents(rows: DataFrame) -> tuple[int, int, int]:
+    """Texts that have a word, texts, and bytes of texts."""
+    r = rows.agg(F.sum(F.col("text").rlike(r"[^\x20\x09-\x0D]").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    return r["n"] or 0, r["rows"], r["bytes"] or 0
+
+
+def _grouped(rows: DataFrame, n: int, size: int) -> DataFrame:
+    groups = max(1, size // GROUP_BYTES + 1, min(partitions(rows.sparkSession), n // 64))
+    return rows.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).alias("group"))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Differences of sorted keys, first all low bytes, last all high ones: the latter are zeros, which compression removes."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().cumsum(dtype=np.uint64)
+
+
+def repeated_shingles(grouped: DataFrame, size: int) -> DataFrame:
+    """(group, keys, counts): for each group of texts, its shingles that stand in more than one document, and in how many; a row a slice."""
+    slices = max(partitions(grouped.sparkSession), size // SLICE_BYTES + 1)
+
+    def ask(group: pa.Table) -> pa.Table:
+        held = [s for s, _ in lsh.shingle_sets(group.column("text"))]
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        of = ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)  # ranges of keys
+        present = np.unique(of)
+        cut = [*np.searchsorted(of, present).tolist(), len(of)]
+        parts = [slice(a, b) for a, b in zip(cut, cut[1:])]
+        return pa.table({
+            "slice": pa.array(present, pa.int64()),
+            "group": pa.array([group.column("group")[0].as_py()] * len(parts), pa.int64()),
+            "keys": pa.array([_packed(keys[x]) for x in parts], pa.binary()),
+            "counts": pa.array([counts[x].astype("<u4").tobytes() for x in parts], pa.binary()),
+        })
+
+    def add(cell: pa.Table) -> pa.Table:
+        keys = [_unpacked(k.as_py()) for k in cell.column("keys")]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.frombuffer(c.as_py(), "<u4") for c in cell.column("counts")]))[at].astype("<u4")
+        parts = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"group": cell.column("group"), "keys": pa.array([_packed(k[t > 1]) for k, t in zip(keys, parts)], pa.binary()), "counts": pa.array([t[t > 1].tobytes() for t in parts], pa.binary())})
+
+    asked = grouped.groupBy("group").applyInArrow(ask, "slice bigint, group bigint, keys binary, counts binary")
+    return asked.groupBy("slice").applyInArrow(add, "group bigint, keys binary, counts binary")
+
+
+def _told(documents: int, told: pa.Table) -> Frequencies:
+    keys = np.concatenate([np.zeros(0, np.uint64), *[_unpacked(k.as_py()) for k in told.column("keys")]])
+    counts = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(c.as_py(), "<u4") for c in told.column("counts")]])
+    order = np.argsort(keys)
+    return Frequencies(documents, keys[order], counts[order])
+
+
+class CorpusMeasure(WeightedMeasure):
+    """Weights by the frequencies of the corpus, which each group of its documents looks up."""
+
+    def __init__(self, bands: int = 14, rows: int = 3):
+        super().__init__(None, bands, rows)
+
+    def signatures(self, rows: DataFrame) -> DataFrame:
+        """id, d1, d2, weight and signature as lsh.signatures, and the body: shingles, then weights."""
+        documents, n, size = _documents(rows)
+        grouped = _grouped(rows, n, size)
+        shared = rows.sparkSession.sparkContext.broadcast(self)
+
+        def sign(texts: pa.Table, told: pa.Table) -> pa.Table:
+            m, frequencies = shared.value, _told(documents, told)
+            ids, out = texts.column("id").to_pylist(), []
+            for i, (s, c) in enumerate(lsh.shingle_sets(texts.column("text"))):
+                if len(s) and ids[i] is not None:
+                    often = frequencies.counts_of(s)
+                    w = c * frequencies.inverse(often)
+                    out.append((ids[i], *lsh.digest(s, c), float(w.sum()), m.samples(s, w).astype("<u4").tobytes(), _body(s, w, often > 1)))
+            return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))], ["id", "d1", "d2", "weight", "sig", "body"])
+
+        return grouped.groupBy("group").cogroup(repeated_shingles(grouped, size).groupBy("group")).applyInArrow(sign, "id bigint, d1 bigint, d2 bigint, weight double, sig binary, body binary")
+
+    def bodies(self, rows: DataFrame, sigs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+        row = ["id", "d1", "d2"]
+        return sigs.select(*row, F.col("body").alias("text")).join(reps.select(*row).join(wanted, "id").hint("shuffle_hash"), row).dropDuplicates(row).select("id", "text")
+
+    def sets(self, texts) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for body in texts:
+            b = body.as_buffer()
+            n = b.size // 12
+            out.append((np.frombuffer(b, np.uint64, n), np.frombuffer(b, np.float32, n, 8 * n).astype(np.float64)))
+        return out
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, n = np.zeros(1 << CELL_BITS, np.int64), 0
-        for batch in batches:
-            for s, _ in lsh.shingle_sets(batch.column(0)):
-                if len(s):
-                    n += 1
-                    cells[np.unique(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)] += 1
-        if n:
-            parts = cells.reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES + 1), pa.int64()), pa.array([*(p.astype("<i4").tobytes() for p in parts), np.array([n], "<i4").tobytes()], pa.binary())], ["slice", "counts"])
+def _body(shingles: np.ndarray, weights: np.ndarray, repeated: np.ndarray) -> bytes:
+    keep = repeated.copy()
+    if not repeated.all():
+        first = int(np.argmin(repeated))
+        weights = weights.copy()
+        weights[first], keep[first] = weights[~repeated].sum(), True
+    return shingles[keep].tobytes() + weights[keep].astype(np.float32).tobytes()
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py(), "<i4").astype(np.int64) for c in group.column("counts"))
-        return pa.table({"slice": group.column("slice").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    got = {r["slice"]: np.frombuffer(bytes(r["counts"]), "<i8") for r in docs.select(text_col).mapInArrow(count, "slice bigint, counts binary").groupBy("slice").applyInArrow(add, "slice bigint, counts binary").collect()}  # 8 MB, whatever the corpus
-    if not got:
-        return np.full(1 << CELL_BITS, np.float32(np.log(2)))
-    n = got[_SLICES][0]
-    return np.log1p(n / np.maximum(1, np.concatenate([got[i] for i in range(_SLICES)]))).astype(np.float32)
+def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
+    """The frequencies of all whole texts, gathered: for tables whose repeated shingles fit the driver."""
+    rows = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
+    documents, n, size = _documents(rows)
+    told = _told(documents, repeated_shingles(_grouped(rows, n, size), size).toArrow())
+    keys, first = np.unique(told.keys, return_index=True)
+    return Frequencies(documents, keys, told.counts[first])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,4 +205,4 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
     See lsh.classes for nulls, empty texts, ties and repeated rows. With 14 bands of 3, a pair at
     the threshold of 0.8 shares no band once in 25,000.
     """
-    return lsh.classes(docs, WeightedMeasure(inverse_frequencies(docs, text_col), bands, rows), threshold, id_col, text_col)
+    return lsh.classes(docs, CorpusMeasure(bands, rows), threshold, id_col, text_col)
