@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from bisect import bisect_right
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LEAST_SHARE = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,15 +53,26 @@ def sampled(df: DataFrame, key: str, most: int, seed: int, total: int | None = N
 
 
 class Scratch:
-    """Written tables in the folder that the cluster shares, to cut lineage and survive lost executors."""
+    """Written tables in the folder that the cluster shares, to cut lineage and survive lost executors.
+
+    The folder is that of ``spark.checkpoint.dir``, or the one the session was given. Without either
+    a cluster is refused; a local session gets a folder of its own, as all its tasks see that.
+    """
+
+    #: Folders of this process that still hold tables.
+    live: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-"))
+            shared = spark.conf.get("spark.checkpoint.dir", None)
+            if shared is None and not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidelog-"))
         self.root = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.live.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -66,11 +82,65 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read again."""
+        for df in tables:
+            self._delete(df._scratch_path)
+
+    def close(self) -> None:
+        """Delete all tables: what was made of them must have been written."""
+        self._delete(self.root)
+        Scratch.live.remove(self)
+
+    def _delete(self, name: str) -> None:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def closing_scratch() -> Iterator[None]:
+    """Closes, at its end, every scratch that was opened inside it: results must have been written elsewhere by then."""
+    before = list(Scratch.live)
+    yield
+    for s in [s for s in Scratch.live if s not in before]:
+        s.close()
+
+
+# --- hot keys --------------------------------------------------------------------------------
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """(keys, parts) of the keys that have more rows than half a partition's share of ``total``.
+
+    As the counts add up to ``total`` at most, these are at most two for each partition, however
+    many rows there are: they may be collected and broadcast. ``parts`` is over how many parts such
+    a key's rows are dealt.
+    """
+    share = max(_LEAST_SHARE, total // (2 * partitions(counts.sparkSession)))
+    return counts.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("parts"))
+
+
+def gathered(hot: DataFrame) -> DataFrame | None:
+    """Hot keys as a local table, so that joins read them without counting again; None if there is none."""
+    rows = hot.collect()  # two a partition at most
+    return hot.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, which has one row a key, with rows of hot keys dealt to parts.
+
+    A row of ``many`` goes to a part of its key by a hash of ``by`` and of its partition (rows that
+    are equal in everything are split by the latter); the row of ``one`` goes to each part. Other
+    keys have one part. Columns: keys, then those of many and one.
+    """
+    if hot is None:
+        return many.join(one, keys, how)
+    hot = F.broadcast(hot.select(*keys, F.col("parts").alias("__parts")))  # two a partition at most
+    part = F.coalesce(F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.col("__parts")), F.lit(0)).cast("int")
+    a = many.join(hot, keys, "left").withColumn("__part", part).drop("__parts")
+    b = one.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return a.join(b, [*keys, "__part"], how).drop("__part")
 
 
 # --- neighbours in a total order ---------------------------------------------------------------
@@ -163,8 +233,8 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 
     Alternating large-star and small-star rounds: each links every neighbour straight to the
     smallest known node, so the number of rounds follows the logarithm of the diameter, and edges
-    never outnumber the input's. A hub is one row on the side of the minima and is split on the
-    other side by the skew-join rule; minima are aggregated before the shuffle.
+    never outnumber the input's. Minima are aggregated before the shuffle; the neighbours of a hub
+    are dealt to parts, each of which gets the hub's one row of the minima.
     """
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, mark = _written(e, scratch)
@@ -172,10 +242,10 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if not mark[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("s")).select("s.*").where("u != v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = split_join(both, low.drop("n"), ["u"], hot_keys(low, ["u"], 2 * mark[0]), ["v"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = split_join(large, low.drop("n"), ["u"], hot_keys(low, ["u"], mark[0]), ["v"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("s")).select("s.*").where("u != v").distinct()
         nxt, now = _written(small, scratch)
         scratch.drop(e)
         e, done, mark = nxt, now == mark, now

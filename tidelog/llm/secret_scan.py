@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import gathered, hot_keys, split_join
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,7 +55,7 @@ ADDED = (
     Rule("pem", _KEY, 0, 0, False, ("private key",)),
     Rule("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False, ("gh",)),
     Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, False, ("xox",)),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 0, False, ("eyj",)),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++", 0, 0, False, ("eyj",)),  # a run of its letters is tried once
     Rule("url", _SCHEME + r"([A-Za-z][A-Za-z0-9+.-]++://[^\s/:@]++:[^\s/:@]{3,}+@)", 0, 0, False, ("://",), 1),
 )
 
@@ -105,23 +107,32 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob", "text").mapInArrow(run, FINDINGS)
 
 
-def new_findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _hot(addresses: DataFrame) -> DataFrame | None:
+    """Blobs that many of the rows (blob) carry, as for split_join."""
+    return gathered(hot_keys(addresses.groupBy("blob").agg(F.count(F.lit(1)).alias("n")), ["blob"], addresses.count()))
+
+
+def new_findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", hot: DataFrame | None = None) -> DataFrame:
     """FINDINGS of the blobs in ``versions`` that the ledger (FINDINGS rows) lacks for these rules: what to append to it.
 
-    One row of each blob is chosen by its address alone (32 bytes a row are shuffled); only then do
-    the chosen rows' texts move, so a blob with a third of all rows costs one text. Rows without an
-    id cannot be chosen that way and go by address.
+    One row of each blob is chosen by its address and a hash of its id (40 bytes a row are shuffled);
+    only then do texts move, by both, so a blob with a third of all rows is not gathered. The texts
+    of hot blobs (blob, parts) are instead collapsed where they are read.
     """
-    texts = versions.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = texts.select(address().alias("blob"), "id").groupBy("blob").agg(F.min("id").alias("id"))
+    version = version_of(rules)
+    texts = versions.select(F.xxhash64(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", address())
+    chosen = texts.groupBy("blob").agg(F.min("row").alias("row"))
     if ledger is not None:
-        chosen = chosen.join(ledger.where(F.col("rules") == version_of(rules)).select("blob"), "blob", "left_anti")
-    named = chosen.where(F.col("id").isNotNull()).hint("shuffle_hash")
-    unseen = texts.join(named, "id").where(F.col("blob") == address()).select("blob", "text")
-    loose = chosen.where(F.col("id").isNull()).select("blob")
-    rest = texts.where(F.col("id").isNull()).withColumn("blob", address()).join(loose, "blob", "left_semi").select("blob", "text")
-    # a repeated id may bring a blob's row twice: the findings are equal then, and one is kept
-    return scan_blobs(unseen.unionByName(rest), rules).dropDuplicates(["blob"])
+        chosen = chosen.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
+    if hot is None:
+        unseen = texts.join(chosen.hint("shuffle_hash"), ["blob", "row"]).select("blob", "text")
+    else:
+        few = F.broadcast(hot.select("blob"))  # two a partition at most
+        rest = texts.join(few, "blob", "left_anti").join(chosen.hint("shuffle_hash"), ["blob", "row"]).select("blob", "text")
+        most = texts.join(F.broadcast(chosen.join(few, "blob", "left_semi").select("blob")), "blob", "left_semi").groupBy("blob").agg(F.min("text").alias("text"))
+        unseen = rest.unionByName(most)
+    # rows that repeat an id may bring a blob's text twice: the findings are equal then, and one is kept
+    return scan_blobs(unseen, rules).dropDuplicates(["blob"])
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,23 +140,31 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
     Null texts count as empty; repeated rows each get their row; an empty table gives an empty
     result; other columns are not read. ``ledger`` (FINDINGS rows) saves scanning what it has;
-    append ``new_findings`` to it after a scan.
+    append ``new_findings`` to it after a scan. Rows of a blob with more than a partition's share
+    of them are dealt to parts.
     """
-    found = new_findings(versions, ledger, rules, id_col, text_col)
-    if ledger is not None:
-        found = found.unionByName(ledger.where(F.col("rules") == version_of(rules)).select(*found.columns).dropDuplicates(["blob"]))
     paths = versions.select(F.col(id_col), address(text_col).alias("blob"))
-    hits = found.where(F.size("kinds") > 0)
+    hot = _hot(paths.select("blob"))
+    hits = _hits(versions, ledger, rules, id_col, text_col, hot)
     empty = [F.coalesce(F.col(c), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("kinds", "string"), ("starts", "bigint"), ("ends", "bigint"))]
-    return paths.join(hits, "blob", "left").select(id_col, "blob", *empty)
+    return split_join(paths, hits, ["blob"], hot, [id_col], "left").select(id_col, "blob", *empty)
+
+
+def _hits(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], id_col: str, text_col: str, hot: DataFrame | None) -> DataFrame:
+    """FINDINGS of the blobs of versions in which something was found."""
+    found = new_findings(versions, ledger, rules, id_col, text_col, hot)
+    if ledger is not None:
+        found = found.unionByName(ledger.where(F.col("rules") == version_of(rules)).select(*found.columns).dropDuplicates(["blob"]))
+    return found.where(F.size("kinds") > 0)
 
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every finding in the text replaced by ``mark`` (overlapping ones by one); all rows and columns stay.
 
-    Rows with findings only are joined to them; a null text stays null.
+    A null text stays null. Rows that carry a hot blob are dealt to parts.
     """
-    found = scan(docs, ledger, rules, id_col, text_col).where(F.size("kinds") > 0).select(F.col("blob").alias("__blob"), "starts", "ends").dropDuplicates(["__blob"])
+    hot = _hot(docs.select(address(text_col).alias("blob")))
+    found = _hits(docs, ledger, rules, id_col, text_col, hot).select(F.col("blob").alias("__blob"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
@@ -161,5 +180,6 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
             out.append(text)
         return pa.array(out, pa.string())
 
-    keyed = docs.withColumn("__blob", address(text_col)).join(found, "__blob", "left")
-    return keyed.select(*[masked(F.col(text_col), F.col("starts"), F.col("ends")).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    hot = hot.withColumnRenamed("blob", "__blob") if hot is not None else None
+    keyed = split_join(docs.withColumn("__blob", address(text_col)), found, ["__blob"], hot, [id_col], "left")
+    return keyed.select(*[masked(F.col(text_col), F.col("__starts"), F.col("__ends")).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
