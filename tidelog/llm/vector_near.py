@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest, sampled
+from .common import Scratch, components, forest, gathered, hot_keys, sampled, split_join
 
 BLOCK = 2048
 _SLACK = 1e-5  # above the rounding of single precision in the tests; the cosine itself has none
@@ -122,11 +122,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     def packed(v: pa.Array) -> pa.Array:
         return pa.array([np.array(x, np.float64).tobytes() for x in v.to_pylist()], pa.binary())
 
-    same = valid.select("id", "label", "h1", "h2")
-    groups = same.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = scratch.write(same.join(groups, ["label", "h1", "h2"]).select("id", "rep", "copies"))
-    chosen = groups.select(F.col("rep").alias("id"), "label", "h1", "h2", "copies")
-    reps = scratch.write(valid.join(chosen, ["id", "label", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"]).select("id", "label", "copies", F.size("v").alias("dim"), packed("v").alias("v")))
+    # equal vectors of a label become one, where they are read; it is known by a number of its own, as ids may repeat
+    same = ["label", "h1", "h2"]
+    groups = valid.select("id", *same, F.size("v").alias("dim"), packed("v").alias("v")).groupBy(*same).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+    groups = scratch.write(groups.withColumn("id", F.monotonically_increasing_id()))
+    reps = groups.select("id", "label", "copies", "dim", "v")
 
     sizes = reps.groupBy("dim", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
     dims = sizes.groupBy("dim").agg(F.sum("n").cast("long").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("peers")).collect()  # a row for each length of vector
@@ -221,7 +221,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     found = scratch.write(own.unionByName(come).groupBy(*place_of, "kind", "i", "j").applyInArrow(compare, "u bigint, v bigint, n bigint"))
     count = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
     comp = components(found.where("u != v").select("u", "v"), scratch).select(F.col("node").alias("rep"), "component")
-    told = member.join(count, "rep", "left").join(comp, "rep", "left").select(F.col("id").alias("__id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    told = told.groupBy("__id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select(F.col(id_col), F.col(id_col).cast("long").alias("__id")).join(told, "__id", "left")
-    return out.select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "__id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    lows = comp.join(groups.select(F.col("id").alias("rep"), "low"), "rep")
+    least = lows.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    total = groups.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    of_rep = split_join(comp, least.drop("n"), ["component"], gathered(hot_keys(least, ["component"], total)), ["rep"]).select("rep", "component_id")
+    told = groups.select(F.col("id").alias("rep"), *same, "copies", "low").join(count, "rep", "left").join(of_rep, "rep", "left")
+    told = scratch.write(told.select(*same, "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")))
+    scratch.drop(groups, placed, found)
+    own = F.col("id")
+    linked = split_join(valid.select("id", *same), told.drop("copies"), same, gathered(hot_keys(told, same, total, "copies")), ["id"]).select("id", "n_links", "component_id")
+    alone = rows.where(~F.coalesce(fine, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"))
+    kind = vectors.schema[id_col].dataType
+    return linked.unionByName(alone).select(own.cast(kind).alias(id_col), "n_links", "component_id", F.coalesce(own == F.col("component_id"), F.lit(True)).alias("kept"))
