@@ -226,7 +226,7 @@ def test_whole_keys_and_addresses_are_masked(text, want):
 
 def test_rules_take_time_in_proportion_to_the_text():
     scanner = secret_scan.Scanner(secret_scan.ADDED)
-    for text in ("a-" * 300_000 + "://", "://a:" * 100_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "-----BEGIN PRIVATE KEY-----" + "\n" * 300_000 + "A: b\n" * 100_000):
+    for text in ("a-" * 300_000 + "://", "://a:" * 100_000, "-eyJ" * 100_000, ".eyJabcdefghijk" * 30_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "-----BEGIN PRIVATE KEY-----" + "\n" * 300_000 + "A: b\n" * 100_000):
         start = time.process_time()
         scanner.spans(text)
         assert time.process_time() - start < 3
@@ -293,14 +293,108 @@ def test_near_duplicate_classes_equal_brute_force(spark, texts, kind, monkeypatc
         assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def brute_rows(data, similar):
+    """(id, class_id, kept) of rows (id, text): documents are distinct rows with a word; similar tells whether two texts are linked."""
+    nodes = sorted({r for r in data if (r[1] or "").split()}, key=repr)
+    comp = list(range(len(nodes)))
+    for _ in nodes:
+        for i, a in enumerate(nodes):
+            for j, b in enumerate(nodes[:i]):
+                if comp[i] != comp[j] and similar(a[1], b[1]):
+                    comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+    members = collections.defaultdict(list)
+    for n, c in zip(nodes, comp):
+        members[c].append(n)
+    of = {n: m for m in members.values() for n in m}
+    ids = lambda m: [i for i, _ in m if i is not None]
+    return [(i, min(ids(of[i, t]), default=None), of[i, t]) if (i, t) in of else (i, i, None) for i, t in data]
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    data = [(0, "a"), (1, "a"), (1, "other text"), (5, "same one"), (5, "same one"), (None, "same one"), (None, "nul"), (None, "nul"), (7, None), (8, " "), (8, " "), (9, a), (9, a + " x"), (10, a + " y"), (10, "A")]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in data], "doc_id bigint, text string, k1 string, weight double")
+    got = minhash_near.near_duplicates(docs).collect()
+    similar = lambda x, y: x.lower().split() == y.lower().split() or min(len(x), len(y)) > 100
+    want = brute_rows(data, similar)
+    assert sorted([(r["doc_id"], r["class_id"]) for r in got], key=repr) == sorted([w[:2] for w in want], key=repr)
+    classes = {repr(m): m for _, _, m in want if m}
+    left = rows(minhash_near.without_near_duplicates(docs))
+    assert sum(bool((r[1] or "").split()) for r in left) == len(classes) and sum(not (r[1] or "").split() for r in left) == 3
+    for m in classes.values():
+        (stays,) = [r for r in left if r[:2] in m]
+        assert stays[0] == min((i for i, _ in m if i is not None), default=None)
+    assert rows(minhash_near.without_near_duplicates(docs.repartition(3))) == left and left[0][2:] == ("x", 1.0)
+
+
+def test_hot_groups_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "_LEAST_SHARE", 5)
+    base = " ".join(f"w{i}" for i in range(200))
+    data = [(i, base) for i in range(300)] + [(1000 + i, base + f" v{i}") for i in range(200)] + [(2000 + i, f"t{i} u{i}") for i in range(100)] + [(None, base)] * 60 + [(3000, base)] * 60 + [(4000 + i, base + " token = abcd1234EFGH") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    seen = []
+    keep = common.gathered
+    for module in (lsh, secret_scan, vector_near):
+        monkeypatch.setattr(module, "gathered", lambda hot: seen.append(keep(hot)) or seen[-1])
+    got = minhash_near.near_duplicates(docs)
+    by_id = {r["doc_id"]: (r["class_id"], r["kept"]) for r in got.collect()}
+    assert got.count() == len(data) and all(by_id[i] == ((0, i == 0) if i is None or not 2000 <= i < 2100 else (i, True)) for i in by_id)
+    assert minhash_near.without_near_duplicates(docs).count() == 101
+    assert sum(x is not None for x in seen) >= 6, "no group was hot: the test shows nothing"
+    seen.clear()
+    told = rows(secret_scan.scan(docs).select("doc_id", F.size("kinds")))
+    assert told == sorted(((i, int(i is not None and i >= 4000)) for i, _ in data), key=repr) and seen[0] is not None
+    masked = secret_scan.redact(docs)
+    assert masked.count() == len(data) and masked.where("text like '%[SECRET]%'").count() == 200
+    vectors = [(i, [1.0, 0.0, 0.5], 1) for i in range(400)] + [(400 + i, [math.cos(i), math.sin(i), 3.0], 1) for i in range(60)] + [(7, [0.0, 1.0, 0.0], 1), (7, [0.0, 0.0, 0.0], 1), (None, [1.0, 0.0, 0.5], 1)]
+    seen.clear()
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, label int")
+    assert set(rows(vector_near.near_duplicates(table))) == brute_vectors([(*v[:2], None if v[0] is None else v[2]) for v in vectors]) and any(x is not None for x in seen)
+
+
+def test_split_join_equals_a_join(spark):
+    many = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(2000)] + [(None, -1)], "k bigint, v bigint")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (9, "d")], "k bigint, w string")
+    hot = common.hot_keys(many.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], 2001)
+    assert {r["k"]: r["parts"] for r in hot.collect()} == {7: 4, 0: 2, 1: 2, 2: 2}
+    for how in ("inner", "left", "left_semi"):
+        assert rows(common.split_join(many, one, ["k"], hot, ["v"], how)) == rows(many.join(one, "k", how))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.Scratch(Session())
+    before = len(common.Scratch.live)
+    with common.closing_scratch():
+        df = common.Scratch(spark).write(spark.range(5))
+        assert df.count() == 5 and len(common.Scratch.live) == before + 1
+    assert len(common.Scratch.live) == before and not spark.sparkContext._jvm.java.io.File(df._scratch_path.removeprefix("file:")).exists()
+
+
 def test_document_frequencies_are_exact(spark):
     data = {i: f"a{i} b{i} c{i} d{i} e{i}" for i in range(6000)}  # one shingle each, some of equal top bits
     data |= {6000: None, 6001: "a1 b1 c1 d1 e1 a2", 6002: "A1 b1 c1  d1 e1", 6003: " "}
     docs = spark.createDataFrame([*data.items(), (None, data[5])], "id bigint, text string")
+    keyed = docs.select("id", "text", *lsh.address("id", "text"))
     times = {1: 3, 5: 2, 6002: 3}
     want = {i: math.log1p(6003 / times.get(i, 1)) for i in data if i not in (6000, 6001, 6003)}
     want[6001] = math.log1p(6003 / 3) + math.log1p(6003)
-    told = {r["id"]: r for r in minhash_near.CorpusMeasure().signatures(docs).collect()}
+    told = {r["id"]: r for r in minhash_near.CorpusMeasure().signatures(keyed).collect()}
+    assert told.pop(None)["d1"] == told[5]["d1"]
     ids = sorted(want)
     m = minhash_near.WeightedMeasure(minhash_near.inverse_frequencies(docs))
     for i, (s, c) in zip(ids, lsh.shingle_sets(pa.array([data[i] for i in ids]))):
@@ -310,7 +404,7 @@ def test_document_frequencies_are_exact(spark):
 
 
 def test_bodies_give_the_similarity_of_the_whole_texts(spark, documents, texts):
-    docs = documents.select(F.col("doc_id").alias("id"), "text")
+    docs = documents.select(F.col("doc_id").alias("id"), "text", *lsh.address("doc_id", "text"))
     told = minhash_near.CorpusMeasure()
     body = {r["id"]: r["body"] for r in told.signatures(docs).collect()}
     m = minhash_near.WeightedMeasure(minhash_near.inverse_frequencies(docs))
@@ -326,7 +420,7 @@ def test_near_duplicates_of_awkward_tables(spark, awkward):
     got = minhash_near.near_duplicates(awkward.unionByName(awkward.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))))
     assert got.count() == len(AWKWARD) + 1
     by_id = {r["doc_id"]: r["class_id"] for r in got.collect()}
-    assert by_id[6] == by_id[5] == 5 and by_id[None] is None and all(by_id[i] == i for i in by_id if i not in (None, 6))
+    assert by_id[6] == by_id[5] == 5 and by_id[None] is None  # its text is null and all(by_id[i] == i for i in by_id if i not in (None, 6))
     assert minhash_near.near_duplicates(awkward.limit(0)).count() == 0
 
 

@@ -93,3 +93,37 @@ def test_mixing_keeps_rows_without_an_id_and_passes_of_each_row(spark):
     words = sum(n * len(t.split()) for t, n in counts.items())
     assert abs(words - 1.5 * sum(len(t.split()) for _, t, _, _ in data)) < 60
     assert rows(got) == rows(corpus_pipeline.mix_sources(spark, docs.repartition(7), SMALL))
+
+
+AWKWARD = [
+    (1, None, None, None, None), (2, "", "en", "b", 0), (2, "", "en", "b", 0), (3, " \n\t ", "en", "b", 4), (4, "one two", "en", None, 7), (4, "three four", None, "a", 10), (5, "palavra longa " * 40_000, "pt", "a", 560_000),
+    (6, "palavra longa " * 40_000, "pt", "a", 560_000), (None, "no id here", "en", "a", 10), (None, "no id here", "en", "a", 10), (None, None, None, None, None), (8, "x" * 3000 + " secret: abcd1234EFGH", None, "a", 3022), (8, "x" * 3000 + " secret: abcd1234EFGH", None, "a", 3022),
+]
+
+
+def test_stages_of_awkward_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, score double, passes int"
+    docs = spark.createDataFrame([(*r, "clash", 0.5, 3) for r in AWKWARD], schema)
+    spark.createDataFrame([(4, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for df in (docs, docs.limit(0)):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        made = {name: stage(spark, df, str(tmp_path)) for name, stage in corpus_pipeline.STAGES}
+        assert all(m.columns == docs.columns for name, m in made.items() if name != "bpe")
+        n = {name: m.count() for name, m in made.items()}
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+        if not df.count():
+            assert set(n.values()) == {0}
+            break
+        assert n["secret scans"] == n["bpe"] == len(AWKWARD) and n["quality classifier"] <= len(AWKWARD)
+        left = [r["doc_id"] for r in made["minhash near-dedup"].collect()]
+        assert sorted(left, key=repr) == sorted([1, 2, 2, 3, 4, 4, 5, None, None, 8], key=repr)
+        masked = {(r["doc_id"], r["text"], r["n_chars"]) for r in made["secret scans"].collect()}
+        assert (8, "x" * 3000 + " [SECRET]", 3009) in masked and (1, None, None) in masked
+        mixed = made["mixing"].collect()
+        assert all((r["text"] or "").split() for r in mixed) and {r["text"] for r in mixed} >= {"one two"}
+
+
+def test_no_stage_leaves_tables_behind(spark):
+    before = len(Scratch.live)
+    corpus_pipeline.run(spark, SMALL).count()
+    assert len(Scratch.live) == before + 1  # that of the result

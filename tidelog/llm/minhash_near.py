@@ -96,7 +96,7 @@ def _documents(rows: DataFrame) -> tuple[int, int, int]:
 
 def _grouped(rows: DataFrame, n: int, size: int) -> DataFrame:
     groups = max(1, size // GROUP_BYTES + 1, min(partitions(rows.sparkSession), n // 64))
-    return rows.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).alias("group"))
+    return rows.select("id", "k1", "k2", "text", F.pmod(F.xxhash64("k1", "k2"), F.lit(groups)).alias("group"))
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -151,26 +151,26 @@ class CorpusMeasure(WeightedMeasure):
         super().__init__(None, bands, rows)
 
     def signatures(self, rows: DataFrame) -> DataFrame:
-        """id, d1, d2, weight and signature as lsh.signatures, and the body: shingles, then weights."""
+        """id, address, digest, weight and signature as lsh.signatures, and the body: shingles, then weights."""
         documents, n, size = _documents(rows)
         grouped = _grouped(rows, n, size)
         shared = rows.sparkSession.sparkContext.broadcast(self)
+        kinds = (*[pa.int64()] * 5, pa.float64(), pa.binary(), pa.binary())
 
         def sign(texts: pa.Table, told: pa.Table) -> pa.Table:
             m, frequencies = shared.value, _told(documents, told)
-            ids, out = texts.column("id").to_pylist(), []
+            of, out = [texts.column(c).to_pylist() for c in ("id", "k1", "k2")], []
             for i, (s, c) in enumerate(lsh.shingle_sets(texts.column("text"))):
-                if len(s) and ids[i] is not None:
+                if len(s):
                     often = frequencies.counts_of(s)
                     w = c * frequencies.inverse(often)
-                    out.append((ids[i], *lsh.digest(s, c), float(w.sum()), m.samples(s, w).astype("<u4").tobytes(), _body(s, w, often > 1)))
-            return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))], ["id", "d1", "d2", "weight", "sig", "body"])
+                    out.append((*(x[i] for x in of), *lsh.digest(s, c), float(w.sum()), m.samples(s, w).astype("<u4").tobytes(), _body(s, w, often > 1)))
+            return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * len(kinds), kinds)], ["id", "k1", "k2", "d1", "d2", "weight", "sig", "body"])
 
-        return grouped.groupBy("group").cogroup(repeated_shingles(grouped, size).groupBy("group")).applyInArrow(sign, "id bigint, d1 bigint, d2 bigint, weight double, sig binary, body binary")
+        return grouped.groupBy("group").cogroup(repeated_shingles(grouped, size).groupBy("group")).applyInArrow(sign, "id bigint, k1 bigint, k2 bigint, d1 bigint, d2 bigint, weight double, sig binary, body binary")
 
-    def bodies(self, rows: DataFrame, sigs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-        row = ["id", "d1", "d2"]
-        return sigs.select(*row, F.col("body").alias("text")).join(reps.select(*row).join(wanted, "id").hint("shuffle_hash"), row).dropDuplicates(row).select("id", "text")
+    def bodies(self, rows: DataFrame, sigs: DataFrame, wanted: DataFrame) -> DataFrame:
+        return sigs.select("k1", "k2", F.col("body").alias("text")).join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")
 
     def sets(self, texts) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -192,7 +192,7 @@ def _body(shingles: np.ndarray, weights: np.ndarray, repeated: np.ndarray) -> by
 
 def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
     """The frequencies of all whole texts, gathered: for tables whose repeated shingles fit the driver."""
-    rows = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("k1"), F.lit(0).alias("k2"))
     documents, n, size = _documents(rows)
     told = _told(documents, repeated_shingles(_grouped(rows, n, size), size).toArrow())
     keys, first = np.unique(told.keys, return_index=True)
@@ -202,7 +202,12 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, ``class_id`` (smallest id of its near-duplicate class), ``kept`` (it is that one).
 
-    See lsh.classes for nulls, empty texts, ties and repeated rows. With 14 bands of 3, a pair at
+    See lsh.classes for nulls, empty and very long texts, ties, repeated rows and empty tables. With 14 bands of 3, a pair at
     the threshold of 0.8 shares no band once in 25,000.
     """
     return lsh.classes(docs, CorpusMeasure(bands, rows), threshold, id_col, text_col)
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of docs of each near-duplicate class, and every row whose text has no word; see lsh.classes."""
+    return lsh.Classes(docs, CorpusMeasure(bands, rows), threshold, id_col, text_col).representatives()
