@@ -17,29 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import Scratch, components, gathered, hot_keys, partitions, split_join
 
 #: Buckets of the seeded order: a pattern's documents are cut at a bucket, and ordered in that one only.
 BUCKETS = 4096
 
 
-def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; what is above is shared again by weight."""
-    targets, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = min(total, most * sum(sizes))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * unit >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = weights[i] * unit
-            break
-        for i in full:
-            targets[i] = float(most * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return targets
-
-
 def min_cost_flow(edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
     """Flows of (from, to, capacity, cost) edges in a maximum flow of least cost (successive shortest paths with potentials)."""
     graph: dict[int, list[int]] = defaultdict(list)
@@ -105,7 +88,67 @@ def sizes(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float, most: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def unit_of(classes, weights: Sequence[float], total: float, most: float) -> float:
+    """The words that a weight of 1 gets, so that shares of min(weight * unit, most * size) add up to ``total``.
+
+    classes(unit) gives, for each weight, how many sources are not full at a unit and the words of
+    those that are. Units only rise from round to round, as full sources leave more to the others.
+    """
+    unit, before = 0.0, None
+    while True:
+        now = classes(unit)
+        if now == before or not any(n for n, _ in now):
+            return unit if any(n for n, _ in now) else float("inf")
+        unit = (total - most * sum(words for _, words in now)) / sum(n * w for (n, _), w in zip(now, weights))
+        before = now
+
+
+def _ranked(names: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, words, place) with places 0, 1, ... in the order of code points, null last: ranges are sorted apart and numbered by the sizes of those before."""
+    ordered = names.withColumn("none", F.col("source").isNull()).repartitionByRange(partitions(names.sparkSession), "none", "source").sortWithinPartitions("none", "source")
+    ordered = scratch.write(ordered.withColumn("at", F.monotonically_increasing_id()))
+    at, sizes_, first = F.shiftright("at", 33), {}, 0
+    for r in sorted(ordered.groupBy(at.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a partition
+        sizes_[r["part"]], first = first, first + r["n"]
+    if not sizes_:
+        return ordered.select("source", "words", F.lit(0).cast("long").alias("place"))
+    before = F.create_map(*[F.lit(x).cast("long") for kv in sizes_.items() for x in kv])
+    return ordered.select("source", "words", (before[at] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
+def _routed(patterns: DataFrame, parts: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """(pattern, taken): the words to take of each pattern, by a flow for each component of overlapping sources.
+
+    patterns: pattern, words, n_sources; parts: pattern, place, quota (a row for each of a pattern's
+    sources). A source that no pattern shares has a flow of one edge, which needs no search.
+    """
+    shared = patterns.where("n_sources > 1").select("pattern")
+    alone = parts.join(patterns.select("pattern", "words"), "pattern").groupBy("pattern").agg(F.least(F.max("quota"), most * F.max("words")).alias("taken"))
+    none = patterns.where("n_sources = 0").select("pattern", F.lit(0).cast("long").alias("taken"))
+    if shared.isEmpty():
+        return alone.unionByName(none)
+    edges = parts.select((2 * F.col("pattern") + 1).alias("u"), (2 * F.col("place")).alias("v"))
+    component = components(edges, scratch).where("node % 2 = 1").select(((F.col("node") - 1) / 2).cast("long").alias("pattern"), "component")
+    wide = component.join(shared, "pattern").select("component").distinct()
+    component = scratch.write(component.join(wide, "component"))
+
+    def flow(group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["pattern", "words", "place", "quota"]).to_pylist(), key=lambda r: (r["pattern"], r["place"]))
+        at = {s: i for i, s in enumerate(sorted({r["place"] for r in rows}))}
+        quotas = [0] * len(at)
+        words, members = {}, defaultdict(list)
+        for r in rows:
+            words[r["pattern"]], quotas[at[r["place"]]] = r["words"], r["quota"]
+            members[r["pattern"]].append(at[r["place"]])
+        taken = route([(tuple(members[p]), w) for p, w in words.items()], quotas, most)
+        return pa.table({"pattern": pa.array(list(words), pa.int64()), "taken": pa.array(taken, pa.int64())})
+
+    joined = parts.join(patterns.select("pattern", "words"), "pattern").join(component, "pattern")
+    flows = joined.groupBy("component").applyInArrow(flow, "pattern bigint, taken bigint")
+    return flows.unionByName(alone.join(component, "pattern", "left_anti")).unionByName(none)
+
+
+def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float, most: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
     """How many words of each document a mix takes: id, sources, size, source_size, target, taken, plus ``passes`` and the columns in ``keep``.
 
     members: array<string> of the sources a document belongs to (a null in it is a source too; an
@@ -118,44 +161,58 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float
 
     Reruns agree, also on other partitionings; rows with the same id share their order and are cut
     together in an order of their size and text. Rows without an id are ordered by their texts. Null
-    texts have size 0. An empty table gives an empty result. Only the named columns are read. To the
-    driver go the words by pattern and by pattern and bucket (BUCKETS rows a pattern, whatever the
-    corpus).
+    texts have size 0. An empty table gives an empty result. Only the named columns are read.
+
+    Sources and patterns stay distributed, however many they are; the driver gets a row for each
+    weight, and one for each partition. Patterns whose sources overlap are routed together, a task
+    for each component of overlapping sources: such a component must fit in one.
     """
     spark = docs.sparkSession
+    scratch = scratch or Scratch(spark)
     canonical = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))), lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0))
     rank = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
     bucket_of = F.pmod(F.shiftrightunsigned("__rank", 40), F.lit(BUCKETS)).cast("int")
     chosen = [F.col(id_col), canonical.alias("sources"), rank.alias("__rank")]
     counted = sizes(docs, text_col, chosen).withColumn("__bucket", bucket_of)
     rows = sizes(docs, text_col, [*chosen, F.xxhash64(text_col).alias("__tie"), *(F.col(c) for c in keep)]).withColumn("__bucket", bucket_of)
-    cells = [(tuple(r["sources"]), r["__bucket"], r["words"]) for r in counted.groupBy("sources", "__bucket").agg(F.sum("size").alias("words")).collect()]
-    by_pattern: dict[tuple, dict[int, int]] = defaultdict(dict)
-    for pattern, bucket, words in cells:
-        by_pattern[pattern][bucket] = words
-    patterns = sorted(by_pattern, key=lambda p: [(s is None, s or "") for s in p])
-    names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
-    at = {s: i for i, s in enumerate(names)}
-    source_sizes = [0] * len(names)
-    totals = {p: sum(by_pattern[p].values()) for p in patterns}
-    for p in patterns:
-        for s in p:
-            source_sizes[at[s]] += totals[p]
-    targets = water_fill(source_sizes, [weights[i % len(weights)] for i in range(len(names))], total * sum(totals.values()), most)
-    taken = route([(tuple(at[s] for s in p), totals[p]) for p in patterns], [round(t) for t in targets], most)
-    plan = []
-    for k, (p, words) in enumerate(zip(patterns, taken)):
-        base, left = divmod(words, totals[p]) if totals[p] else (0, 0)
-        cut = -1  # the bucket in which the last pass ends
-        for bucket in sorted(by_pattern[p]):
-            cut = bucket
-            if by_pattern[p][bucket] > left:
-                break
-            left -= by_pattern[p][bucket]
-            cut = BUCKETS
-        plan.append((k, list(p), sum(source_sizes[at[s]] for s in p), float(sum(targets[at[s]] for s in p)), base, cut, left))
-    schema = "__pattern int, __sources array<string>, source_size bigint, target double, __base bigint, __cut int, __left bigint"
-    planned = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), F.col("sources").eqNullSafe(F.col("__sources")))  # a row for each pattern
+    cells = scratch.write(counted.groupBy("sources", "__bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")))  # BUCKETS rows a pattern at most
+
+    patterns = cells.groupBy("sources").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).withColumn("n_sources", F.size("sources"))
+    patterns = scratch.write(patterns.withColumn("pattern", F.monotonically_increasing_id()))
+    parts = patterns.select("pattern", "words", F.explode("sources").alias("source"))
+    names = scratch.write(_ranked(parts.groupBy("source").agg(F.sum("words").alias("words")), scratch))
+    everything = patterns.agg(F.sum("words").alias("words"), F.sum("n").alias("n")).first()
+    cls = F.pmod(F.col("place"), F.lit(len(weights))).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), cls + 1)
+
+    def classes(unit: float) -> list[tuple[int, int]]:
+        full = weight * unit >= most * F.col("words")
+        got = names.where("words > 0").groupBy(cls.alias("c")).agg(F.count_if(~full).alias("n"), F.coalesce(F.sum(F.when(full, F.col("words"))), F.lit(0)).alias("words")).collect()  # a row for each weight
+        of = {r["c"]: (r["n"], r["words"]) for r in got}
+        return [of.get(k, (0, 0)) for k in range(len(weights))]
+
+    own = names.agg(F.sum("words").alias("w")).first()["w"] or 0
+    unit = unit_of(classes, [float(w) for w in weights], min(total * (everything["words"] or 0), most * own), most)
+    target = F.least(weight * unit, (most * F.col("words")).cast("double"))
+    names = names.select("source", "place", F.col("words").alias("source_size"), target.alias("target"))
+    met = F.col("source").eqNullSafe(F.col("name"))
+    parts = scratch.write(parts.join(names.withColumnRenamed("source", "name"), met).select("pattern", "place", "source_size", "target", F.rint("target").cast("long").alias("quota")))
+
+    taken = _routed(patterns, parts.select("pattern", "place", "quota"), most, scratch)
+    in_order = F.array_sort(F.collect_list(F.struct("place", "target")))
+    sums = parts.groupBy("pattern").agg(F.sum("source_size").alias("source_size"), F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x["target"]).alias("target"))
+    whole = F.col("words") > 0
+    plan = patterns.join(taken, "pattern").join(sums, "pattern", "left").select(
+        "pattern", "sources", "words", "n", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
+        F.when(whole, F.floor(F.col("taken") / F.col("words"))).otherwise(0).cast("long").alias("__base"), F.when(whole, F.pmod("taken", "words")).otherwise(0).cast("long").alias("left"),
+    )
+    so_far = Window.partitionBy("pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = cells.select("sources", "__bucket", F.col("words").alias("here")).join(plan.select("pattern", "sources", "left"), "sources").withColumn("upto", F.sum("here").over(so_far))
+    cut = upto.where(F.col("upto") > F.col("left")).groupBy("pattern").agg(F.min("__bucket").alias("__cut"), F.min_by(F.col("left") - F.col("upto") + F.col("here"), "__bucket").alias("__left"))  # where the last pass ends
+    plan = scratch.write(plan.join(cut, "pattern", "left").select(F.col("pattern").alias("__pattern"), "sources", "source_size", "target", "__base", F.coalesce("__cut", F.lit(BUCKETS)).alias("__cut"), F.coalesce("__left", F.lit(0)).cast("long").alias("__left")))
+    hot = gathered(hot_keys(patterns, ["sources"], everything["n"] or 0))
+
+    planned = split_join(rows, plan, ["sources"], hot, ["__rank"])
     order = Window.partitionBy("__pattern").orderBy("__rank", "size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     last = planned.where(F.col("__bucket") == F.col("__cut")).withColumn("__before", F.sum("size").over(order) - F.col("size"))
     rest = planned.where(F.col("__bucket") != F.col("__cut")).withColumn("__before", F.when(F.col("__bucket") < F.col("__cut"), F.lit(None)).otherwise(F.col("__left")))
