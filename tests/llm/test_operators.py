@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +112,41 @@ def test_kernel_values_are_those_of_gram_sets():
     assert len(x) == len(p) and len(y) == len(q) and len(x & y) == len(p & q)
 
 
+def test_classifier_equals_plain_kernel_ridge_regression():
+    """Values of the model against Gram matrices of gram sets, the Nyström map by an inverse, and weighted ridge in the primal."""
+    r = np.random.default_rng(6)
+    alphabets = {"aa": "abcdefg ", "bb": "defghijk ", "cc": "xyzabc "}
+    data = [(lang, "".join(r.choice(list(letters), r.integers(20, 60)))) for lang, letters in alphabets.items() for _ in range(15 + 5 * (lang == "aa"))]
+    data = [data[i] for i in r.permutation(len(data))]
+    room = np.zeros(1 << langid.BITS, bool)
+
+    def buckets(text):
+        langid.presence(text, room)
+        return np.flatnonzero(room).astype(np.int32)
+
+    held = [(lang, buckets(t)) for lang, t in data]
+    model = langid.fit(held, 12, 1e-3)
+    langs, seen, marks = sorted(alphabets), collections.Counter(), []
+    for lang, b in held:
+        if seen[lang] < 4:
+            seen[lang] += 1
+            marks.append(set(b.tolist()))
+    kernel = lambda x, y: len(x & y) / (len(x) * len(y)) ** 0.5
+    gram = np.array([[kernel(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(gram)
+    assert values.min() > 1e-6 * values.max()
+    root = vectors @ np.diag(values**-0.5) @ vectors.T  # another square root of the inverse: the same kernel
+    phi = np.array([[kernel(set(b.tolist()), y) for y in marks] for _, b in held]) @ root
+    size = collections.Counter(lang for lang, _ in held)
+    weight = np.diag([len(held) / (len(langs) * size[lang]) for lang, _ in held])
+    tests = ["".join(r.choice(list("abcdefghijkxyz "), 40)) for _ in range(20)]
+    new = np.array([[kernel(set(buckets(t).tolist()), y) for y in marks] for t in tests]) @ root
+    for k, lang in enumerate(langs):
+        y = np.array([1.0 if x == lang else -1.0 for x, _ in held])
+        beta = np.linalg.inv(phi.T @ weight @ phi + 1e-3 * len(held) * np.eye(len(marks))) @ phi.T @ weight @ y
+        assert np.allclose(model.scores(tests)[:, k], new @ beta, atol=1e-4)
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
@@ -166,6 +203,37 @@ def test_prior_is_estimated():
         assert abs(quality.estimate_prior(r.normal(2, 1, 3000), unlabelled) - share) < 0.08
 
 
+def plain_risk(w, pos, unl, prior):
+    """The non-negative risk of a linear model under the logistic loss, from sums over texts, and whether its negative part is held at zero."""
+    loss = lambda x, y: math.log1p(math.exp(-y * (float(x @ w[:-1]) + w[-1])))
+    mean = lambda rows, y: sum(loss(x, y) for x in rows) / len(rows)
+    negative = mean(unl, -1) - prior * mean(pos, -1)
+    return prior * mean(pos, 1) + max(0.0, negative), negative
+
+
+def test_risk_and_its_gradient_equal_plain_ones():
+    r = np.random.default_rng(11)
+    pos, unl, prior = r.normal(0.7, 1, (25, 4)), r.normal(-0.2, 1, (40, 4)), 0.4
+    sides = set()
+    for w in [*r.normal(0, 1, (6, 5)), np.array([3.0, 3, 3, 3, -9]), np.array([-2.0, -2, -2, -2, -9.0])]:
+        risk, g = quality.risk(w, np.vstack([pos, unl]), len(pos), prior)
+        want, negative = plain_risk(w, pos, unl, prior)
+        assert abs(risk - want) < 1e-9
+        sides.add(negative >= 0)
+        if negative >= 0:
+            slope = lambda v: plain_risk(v, pos, unl, prior)[0]
+        else:  # the step goes against the part that fell below zero
+            slope = lambda v: -plain_risk(v, pos, unl, prior)[1]
+        for k in range(5):
+            e = np.eye(5)[k] * 1e-6
+            assert abs((slope(w + e) - slope(w - e)) / 2e-6 - g[k]) < 1e-5
+    assert sides == {True, False}
+    w, b = quality.minimise(pos, unl, prior, 800, 0.05, 0.0)
+    found = plain_risk(np.append(w, b), pos, unl, prior)[0]
+    near = [plain_risk(np.append(w, b) + d, pos, unl, prior)[0] for d in r.normal(0, 0.3, (40, 5))]
+    assert found <= min(near) + 0.02 and found < 0.1 * plain_risk(np.zeros(5), pos, unl, prior)[0]
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -526,6 +594,86 @@ def test_neighbours_decide_on_marked_parts_of_an_article(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {i: f"Mind {w}\n{w}" for i, w in enumerate(("one", "two", "six"))}
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<div class="layout has-sidebar"><article><p>a</p></article></div>', ["a"]),
+        ('<div class="with-header"><main>a</main></div><div class="no-comments">b</div>', ["a", "b"]),
+        ('<article class="comment"><p>no</p></article><article><p>a</p><article id="comment-3">no</article></article>', ["a"]),
+        ('<form id=f><div class="sidebar">no</div><main><p>a</p><form>no</form></main></form>', ["a"]),
+        ('<aside><article>no</article></aside><nav><main>no</main></nav><p class="share-price">a</p><h2 class="section header">no</h2>', ["a"]),
+        ('<div class="cookie-notice">no</div><div id="site-header">no</div><section id="social-impact">a</section>', ["a"]),
+        ("<p>a</p><a title=\"1 > 0\" href='y'>b</a> <p>c <a href=\"cut", ["a", "b", "c"]),
+        ("x < y and <b>z</b> 3<4 <!-- never closed > <p>no</p>", ["x < y and z 3<4"]),
+    ],
+)
+def test_wrappers_comments_and_cut_tags(html, want):
+    assert [b for b, p in zip(*html_extract.blocks(html)) if p != html_extract.OUT] == want
+
+
+def test_pages_are_parsed_in_time_that_follows_their_length():
+    for bit in ("<a ", "<a '", '<a x"', "<svg ", "<svg>", "<svg><title/>", "<!--", "<select>", "</math><svg>", "<a '>", "<title/>", "<!", "<?x ", "<p class='x' "):
+        for whole in (bit * 60_000, "<svg>" + bit * 60_000 + ">", "<p>" + bit * 60_000 + "'\">"):
+            start = time.process_time()
+            html_extract.blocks(whole)
+            assert time.process_time() - start < 3, bit
+
+
+class Plain(HTMLParser):
+    """The text of article elements, a line for each block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.lines = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.lines[-1] += " "
+        elif tag not in ("b", "a"):
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag not in ("b", "a"):
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.lines[-1] += data
+
+
+def test_extraction_of_all_pages_equals_a_plain_parser(spark):
+    d = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    for r in queries.op6_html_extraction(spark, d).collect():
+        plain = Plain()
+        plain.feed(pages[r["page_id"]] or "")
+        plain.close()
+        assert r["text"] == "\n".join(x for x in (" ".join(line.split()) for line in plain.lines) if x), r["page_id"]
+        assert r["n_template"] <= r["n_shared"] <= r["n_lines"] and r["n_template"] + r["n_marked"] <= r["n_lines"]
+
+
+def test_differencing_decides_on_given_pages_without_their_marks(spark):
+    """The given pages of one host as plain divs: what neighbours share goes, all else stays."""
+    got = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").orderBy("page_id").limit(60).collect()
+    strip = lambda h: re.sub(r"</?(nav|footer|article|ul|li)\b[^>]*>", "<div>", h).replace(' class="ad"', "")
+    made = {r["page_id"]: strip(r["html"]).replace("<body>", "<body><div>Site of many things</div>").replace("</body>", f"<p>All rights</p><p>Page {r['page_id'] % 3}</p></body>") for r in got}
+    df = spark.createDataFrame([(i, f"http://h.example/a/{i:04d}", h) for i, h in made.items()], "page_id bigint, url string, html string")
+    lines = {i: html_extract.blocks(h)[0] for i, h in made.items()}
+    ids, deleted = sorted(made), 0
+    for r in html_extract.extract(df).collect():
+        k, mine = ids.index(r["page_id"]), lines[r["page_id"]]
+        near = [ids[j] for j in (k - 1, k + 1) if 0 <= j < len(ids)]
+        path = lambda i: f"/a/{i:04d}"
+        best = max(near, key=lambda i: len(os.path.commonprefix([path(i), path(ids[k])])))
+        shared = html_extract.common(mine, lines[best])
+        assert r["text"].split("\n") == [x for x, s in zip(mine, shared) if not s]
+        assert r["n_template"] == r["n_shared"] == sum(shared) >= 1 and "Site of many things" not in r["text"]
+        deleted += sum(shared)
+    assert deleted > 1.5 * len(ids)
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     r = np.random.default_rng(2)
     for _ in range(200):
@@ -570,7 +718,56 @@ def test_flow_is_of_least_cost():
     edges = [(0, 1, 4, 1), (0, 2, 3, 5), (1, 3, 3, 2), (2, 3, 3, 1), (1, 2, 4, 0)]
     flow = mixing.min_cost_flow(edges, 0, 3)
     assert sum(f for f, e in zip(flow, edges) if e[1] == 3) == 6 and sum(f * e[3] for f, e in zip(flow, edges)) == 4 * 1 + 2 * 5 + 3 * 1 + 3 * 2
-    assert mixing.water_fill([10, 100, 0], [5, 2, 1], 165, 2) == [20, 145, 0]
+
+
+def shares(sizes, weights, total, most):
+    """Shares of total by weight, none above most times its size; what is above is shared again."""
+    out, open_, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s], min(total, most * sum(sizes))
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if weights[i] * unit >= most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else weights[i] * unit
+        if not full:
+            break
+        left -= sum(most * sizes[i] for i in full)
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
+def test_many_overlapping_sources_equal_one_flow(spark):
+    r = np.random.default_rng(12)
+    names = [f"s{i:03d}" for i in range(120)] + ["é", None]
+    data = []
+    for i in range(900):
+        k = r.integers(0, len(names))
+        more = [names[(k + 1) % 60]] if k < 60 and r.random() < 0.15 else []  # the first sixty overlap, in chains
+        data.append((i, "w " * int(r.integers(0, 30)), [names[k], *more] if i % 50 else []))
+    df = spark.createDataFrame(data, "doc_id bigint, text string, members array<string>")
+    for total in (0.7, 1.5, 3.0):
+        got = {x["doc_id"]: x for x in mixing.mix(df, F.col("members"), (5, 2, 1), total).collect()}
+        assert len(got) == len(data)
+        key = lambda s: (s is None, s or "")
+        used = sorted({s for _, _, m in data for s in m}, key=key)
+        at = {s: i for i, s in enumerate(used)}
+        words, own = collections.Counter(), [0] * len(used)
+        for _, t, m in data:
+            n = len(t.split())
+            words[tuple(sorted(at[s] for s in m))] += n
+            for s in m:
+                own[at[s]] += n
+        target = shares(own, [(5, 2, 1)[i % 3] for i in range(len(used))], min(total * sum(words.values()), 2 * sum(own)), 2)
+        patterns = sorted(words)
+        taken = dict(zip(patterns, mixing.route([(p, words[p]) for p in patterns], [round(t) for t in target], 2)))
+        told = collections.Counter()
+        for i, _, m in data:
+            p = tuple(sorted(at[s] for s in m))
+            told[p] += got[i]["taken"]
+            assert abs(got[i]["target"] - sum(target[s] for s in p)) < 1e-6 and got[i]["source_size"] == sum(own[s] for s in p)
+        cost = lambda t: sum(x + 2 * max(0, x - words[p]) for p, x in t.items())
+        assert sum(told.values()) == sum(taken.values()) and cost(told) == cost(taken) and told[()] == 0
+        assert all(told[p] == taken[p] for p in patterns if len(p) == 1 and not any(p[0] in q for q in patterns if len(q) > 1))
+    assert sum(len(p) > 1 for p in patterns) > 30
 
 
 # --- 8 -------------------------------------------------------------------------------------------
@@ -621,6 +818,62 @@ def test_forward_is_exact_and_training_gains():
     assert logs[-1] > logs[0]
 
 
+def test_scores_equal_a_plain_model(spark, texts, monkeypatch):
+    """Every score of the query from the trained parameters: a symbol a token, its share of the symbol, the plain forward recursion."""
+    held, kept = {}, hmm_lm.train
+
+    def train(rows, vocabulary, *args, **more):
+        held["v"], held["m"] = vocabulary, kept(rows, vocabulary, *args, **more)
+        return held["m"]
+
+    monkeypatch.setattr(hmm_lm, "train", train)
+    got = {r["doc_id"]: r["score"] for r in queries.op8_lm_scoring(spark, DIR).collect()}
+    v, m = held["v"], held["m"]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for i, t in texts.items()}
+    counts = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    every = sorted({w for ws in tokens.values() for w in ws})
+    key = {w: int(k) for w, k in zip(every, np.concatenate([k for _, k, _ in hmm_lm.token_keys(pa.array(every))]))}
+    assert len(set(key.values())) == len(every)
+    tail = lambda w: w.encode()[-3:]
+    classes = {tail(w): key[w] >> (64 - hmm_lm.CLASS_BITS) for w in every}
+    assert all(key[w] >> (64 - hmm_lm.CLASS_BITS) == classes[tail(w)] for w in every)
+    top = {int(k): i for i, k in enumerate(v.keys)}
+    assert len(top) <= 4096 and all(int(v.counts[top[key[w]]]) == c for w, c in counts.items() if key[w] in top)
+    mass = collections.Counter()
+    for w, c in counts.items():
+        if key[w] not in top:
+            mass[classes[tail(w)]] += c + 0.5
+    for i, ws in tokens.items():
+        symbols, share = [], 0.0
+        for w in ws:
+            if key[w] in top:
+                symbols.append(top[key[w]])
+            elif counts[w]:
+                symbols.append(len(top) + classes[tail(w)])
+                share += math.log10((counts[w] + 0.5) / mass[classes[tail(w)]])
+            else:
+                symbols.append(v.n_symbols - 1)
+        want = slow_forward(m, [*symbols, v.end]) + share
+        assert abs(got[i] - want) < 1e-4 * abs(want)
+
+
+def test_expected_counts_do_not_depend_on_partitions(spark, documents):
+    learn = documents.select(F.col("doc_id").alias("id"), "text").where("text is not null")
+    table = hmm_lm.count_tokens(learn.select("text"), 4)
+    v = hmm_lm.vocabulary_of(table, learn.count(), 500)
+    model = hmm_lm.HMM.first(v.symbol_probabilities(), 4)
+    shared = spark.sparkContext.broadcast(v)
+    plain = hmm_lm.Counts.none(4, v.n_symbols)
+    for r in learn.collect():
+        hmm_lm.forward(model, hmm_lm._sequences(pa.array([r["text"]]), v), plain)
+    for parts in (1, 5):
+        told = hmm_lm.expected(learn.select("text").repartition(parts), shared, model, v.n_symbols)
+        assert abs(told.log10 - plain.log10) < 1e-5 * abs(plain.log10)
+        for a, b in ((told.start, plain.start), (told.move, plain.move), (told.emit, plain.emit)):
+            assert np.allclose(a, b, rtol=1e-3, atol=1e-2)
+
+
 def test_language_model_of_awkward_tables(spark, awkward):
     got = hmm_lm.score(awkward, F.col("doc_id") > 3).collect()
     assert len(got) == len(AWKWARD) and all(math.isfinite(r["score"]) and r["score"] <= 1e-9 for r in got)

@@ -79,25 +79,33 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def risk(w: np.ndarray, x: np.ndarray, n: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of weights and bias ``w`` over x, of which the first n rows are the positives, and the direction of its descent.
+
+    Where the part of the negatives falls below zero it counts as zero, and the direction raises it.
+    """
+    m = len(x) - n
+    z = x @ w[:-1] + w[-1]
+    p = _sigmoid(z)
+    loss = np.logaddexp(0, z)  # of calling it negative
+    negative = loss[n:].mean() - prior * loss[:n].mean()
+    d = np.zeros(n + m)
+    if negative >= 0:
+        d[:n] = prior * (p[:n] - 1) / n - prior * p[:n] / n
+        d[n:] = p[n:] / m
+    else:
+        d[:n] = prior * p[:n] / n
+        d[n:] = -p[n:] / m
+    return prior * (loss[:n] - z[:n]).mean() + max(0.0, negative), np.append(x.T @ d, d.sum())
+
+
 def minimise(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk (Adam on the whole sample; no randomness)."""
     x = np.vstack([pos, unl])
-    n, m = len(pos), len(unl)
     w = np.zeros(x.shape[1] + 1)
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        z = x @ w[:-1] + w[-1]
-        p = _sigmoid(z)
-        loss = np.logaddexp(0, z)  # of calling it negative
-        negative = loss[n:].mean() - prior * loss[:n].mean()
-        d = np.zeros(n + m)
-        if negative >= 0:
-            d[:n] = prior * (p[:n] - 1) / n - prior * p[:n] / n
-            d[n:] = p[n:] / m
-        else:
-            d[:n] = prior * p[:n] / n
-            d[n:] = -p[n:] / m
-        g = np.append(x.T @ d + decay * w[:-1], d.sum())
+        g = risk(w, x, len(pos), prior)[1] + decay * np.append(w[:-1], 0)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
