@@ -47,3 +47,8 @@ def full_offset(text: Column) -> Column:
 def iso_date(day_first: Column) -> Column:
     """A strict DD/MM/YYYY as a date, anything else null."""
     return F.when(day_first.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.try_to_date(day_first, "dd/MM/yyyy"))
+
+
+def text_day(text: Column) -> Column:
+    """The day that the first ten characters of a timestamp's text name."""
+    return F.substring(text, 1, 10).cast("date")

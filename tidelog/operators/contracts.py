@@ -38,6 +38,11 @@ class Attribute:
 class Contract:
     table: str
     attributes: tuple[Attribute, ...] = field(default_factory=tuple)
+    namespace: str = "public"
+
+    @property
+    def qualified_name(self) -> str:
+        return f"{self.namespace}.{self.table}"
 
     @property
     def names(self) -> list[str]:
@@ -58,7 +63,12 @@ def _times(*names: str) -> tuple[Attribute, ...]:
 CUSTOMERS = Contract("customers", (Attribute("customer_id", "int8", key=True), Attribute("full_name", "text"), Attribute("email", "text", pii=True), Attribute("cpf", "bpchar", pii=True), *_times("created_at", "updated_at")))
 MERCHANTS = Contract("merchants", (Attribute("merchant_id", "int8", key=True), Attribute("legal_name", "text"), Attribute("category", "text"), Attribute("country", "bpchar"), *_times("created_at", "updated_at")))
 PAYMENTS = Contract("payments", (Attribute("payment_id", "int8", key=True), Attribute("customer_id", "int8"), Attribute("merchant_id", "int8"), Attribute("amount", "numeric", precision=14, scale=2), Attribute("currency", "bpchar"), Attribute("status", "text"), *_times("created_at", "updated_at")))
-CONTRACTS = {c.table: c for c in (CUSTOMERS, MERCHANTS, PAYMENTS)}
+CONTRACTS = {c.qualified_name: c for c in (CUSTOMERS, MERCHANTS, PAYMENTS)}
+
+
+def contract_for(namespace: str, table: str) -> Contract | None:
+    """The contract of a table, by its schema too: a table of another schema with the same name has none."""
+    return CONTRACTS.get(f"{namespace}.{table}")
 
 
 def relation_violations(contract: Contract | None, table: str, columns: list[tuple[str, int, bool]], lsn: str = "") -> list[str]:
@@ -107,3 +117,22 @@ def row_violations(log: DataFrame, contract: Contract, identity: list[str]) -> D
     unknown = F.array_except(F.coalesce(F.map_keys(after), F.array().cast("array<string>")), F.array(*map(F.lit, contract.names)))
     every = F.concat(F.array(*problems), F.transform(unknown, lambda c: F.struct(c.alias("column_name"), F.lit("unexpected").alias("problem"))))
     return log.select(*identity, F.explode(every).alias("p")).select(*identity, "p.*").where("problem is not null")
+
+
+def log_violations(log: DataFrame, known: dict[str, Contract] | None = None) -> DataFrame:
+    """(qualified_name, lsn_numeric, column_name, problem) of all changes of a log, each by its table's contract; a table without one is a problem of its own."""
+    known = CONTRACTS if known is None else known
+    name = F.concat_ws(".", "schema_name", "table_name")
+    named = log.withColumn("qualified_name", name)
+    identity = ["qualified_name", "lsn_numeric"]
+    out = named.where(~F.col("qualified_name").isin(list(known))).select(*identity, F.lit(None).cast("string").alias("column_name"), F.lit("no contract").alias("problem"))
+    for c in known.values():
+        out = out.unionByName(row_violations(named.where(F.col("qualified_name") == c.qualified_name), c, identity))
+    return out
+
+
+def require_valid_rows(log: DataFrame, known: dict[str, Contract] | None = None) -> None:
+    """Raises if any change breaks its contract, naming the first few."""
+    bad = log_violations(log, known).orderBy("lsn_numeric", "column_name").limit(5).collect()
+    if bad:
+        raise ContractError("; ".join(f"{r['qualified_name']}{'.' + r['column_name'] if r['column_name'] else ''}: {r['problem']} at {r['lsn_numeric']}" for r in bad))

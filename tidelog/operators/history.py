@@ -21,8 +21,8 @@ def without_replays(log: DataFrame, identity: list[str]) -> DataFrame:
 
 
 def replay_conflicts(log: DataFrame, identity: list[str], content: list[Column]) -> DataFrame:
-    """Identities whose rows differ in content: a healthy log has none."""
-    said = F.xxhash64(*content)
+    """Identities whose rows differ in content: a healthy log has none. A null differs from any value, and from a null in another place."""
+    said = F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(content)]), {"ignoreNullFields": "false"})
     return log.groupBy(*identity).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(said).alias("n_versions")).where("n_versions > 1")
 
 

@@ -27,7 +27,17 @@ def glob(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFr
     return (reader.schema(schema) if schema else reader).parquet(pattern)
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    system, p = _at(spark, path)
+    return system.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path with all below it, if it is there."""
+    system, p = _at(spark, path)
+    system.delete(p, True)

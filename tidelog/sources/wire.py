@@ -97,7 +97,9 @@ class Decoder:
         if kind == b"B":
             return Begin(c.number("q"), _time(c.number("q")), c.number("I"))
         if kind == b"C":
-            c.number("B")
+            flags = c.number("B")
+            if flags:
+                raise WireError(f"unknown flags {flags} of a commit")
             return Commit(c.number("q"), c.number("q"), _time(c.number("q")))
         if kind == b"R":
             oid, schema, table, identity, n = c.number("I"), c.text(), c.text(), c.take(1).decode(), c.number("h")
@@ -184,7 +186,10 @@ def records(frames: Iterable[tuple[int, int, bytes]], decoder: Decoder, source:
                 held += [{**common, **none, "action": "truncate", "schema_name": r.schema, "table_name": r.table, "truncate_cascade": m.cascade, "truncate_restart_identity": m.restart_identity} for r in m.relations]
             else:
                 row = m.after if m.after is not None else m.before
-                key = {n: row.get(n) for n, _, is_key in m.relation.columns if is_key}
+                missing = [n for n, _, is_key in m.relation.columns if is_key and n not in row]
+                if missing:
+                    raise WireError(f"no value of key {', '.join(missing)} of {m.relation.table} at {lsn_text(start)}")
+                key = {n: row[n] for n, _, is_key in m.relation.columns if is_key}
                 held.append({**common, **none, "action": m.action, "schema_name": m.relation.schema, "table_name": m.relation.table, "key": key, "before": m.before, "after": m.after, "unchanged_toast_columns": list(m.unchanged)})
 
 
@@ -196,8 +201,8 @@ class Writer:
         return b"B" + struct.pack(">qqI", lsn, us, xid)
 
     @staticmethod
-    def commit(lsn: int, end: int, us: int) -> bytes:
-        return b"C" + struct.pack(">Bqqq", 0, lsn, end, us)
+    def commit(lsn: int, end: int, us: int, flags: int = 0) -> bytes:
+        return b"C" + struct.pack(">Bqqq", flags, lsn, end, us)
 
     @staticmethod
     def relation(oid: int, table: str, columns: list[tuple[str, int, bool]], schema: str = "public") -> bytes:
