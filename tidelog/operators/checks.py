@@ -64,16 +64,24 @@ def freshness(df: DataFrame, column: str, as_of: Column | datetime, warn_minutes
     return df.agg(F.max(column).alias("last_at")).select("last_at", F.floor(age).cast("long").alias("age_seconds")).withColumn("status", F.when(F.col("age_seconds").isNull() | (F.col("age_seconds") > error_minutes * 60), "error").when(F.col("age_seconds") > warn_minutes * 60, "warn").otherwise("pass"))
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+def fingerprint(df: DataFrame, columns: list[str], leaf: int = 4096) -> DataFrame:
     """One row: count and md5 of all rows in order, the same for the same rows in any order and partitioning.
 
-    Rows are digested alone and digests are hashed by prefix first, so what meets in the end are
-    4096 digests, whatever the table.
+    Rows are digested alone, and digests are hashed in a tree by their prefixes, three hex digits a
+    level: what meets in one place are about ``leaf`` digests, whatever the table. The depth follows
+    from the count, so equal tables have equal trees. Copies of one row count as often as they are.
     """
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in columns]))
-    cells = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("h")), "|")).alias("h"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "h"))), lambda s: s["h"]), "|")
-    return cells.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), F.md5(whole).alias("digest"))
+    depth, total = 3, df.count()
+    while total > leaf * 16**depth:
+        depth += 3
+    copies = df.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    told = F.when(F.col("n") == 1, F.col("h")).otherwise(F.concat_ws("x", "h", "n"))
+    cells = copies.select(F.substring("h", 1, depth).alias("cell"), "n", told.alias("h"))
+    for level in range(depth, -1, -3):
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "h"))), lambda s: s["h"]), "|")
+        cells = cells.groupBy(F.substring("cell", 1, level).alias("up") if level else F.lit("").alias("up")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.md5(whole).alias("h")).withColumnRenamed("up", "cell")
+    return cells.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), F.coalesce(F.max("h"), F.md5(F.lit(""))).alias("digest"))
 
 
 def reconcile(log_keys: DataFrame, source_keys: DataFrame) -> DataFrame:

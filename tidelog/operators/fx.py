@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.error
+import urllib.parse
+import urllib.request
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 from decimal import Decimal, InvalidOperation
@@ -68,6 +72,24 @@ def parse_payload(body: str) -> list[tuple[date, Decimal]]:
     return out
 
 
+def http_fetch(url: str, timeout: float = 30.0) -> Callable[[int, date, date], str | None]:
+    """A ``fetch`` over HTTP: ``url`` has a place {} for the series; 404 means that a window has no quotes; other errors are raised."""
+
+    def fetch(series: int, start: date, end: date) -> str | None:
+        if start > end:
+            raise ValueError(f"a window from {start} to {end}")
+        query = urllib.parse.urlencode({"formato": "json", "dataInicial": f"{start:%d/%m/%Y}", "dataFinal": f"{end:%d/%m/%Y}"})
+        try:
+            with urllib.request.urlopen(f"{url.format(series)}?{query}", timeout=timeout) as answer:
+                return answer.read().decode()
+        except urllib.error.HTTPError as e:
+            if e.code == 404:
+                return None
+            raise
+
+    return fetch
+
+
 def extract(spark: SparkSession, currency: str, start: date, end: date, fetch: Callable[[int, date, date], str | None], now: datetime) -> DataFrame:
     """Observations of a currency: one request for each month, ``fetch(series, start, end)`` giving the body or None for none.
 
@@ -93,17 +115,24 @@ def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def write_months(spark: SparkSession, new: DataFrame, root: str) -> None:
-    """Merge observations into the months they touch under ``root`` and overwrite those only."""
-    from ..sources.tables import exists
+    """Merge observations into the months they touch under ``root`` and overwrite those only.
+
+    What is merged is written beside ``root`` first, as the files that it is read from are replaced.
+    """
+    from ..sources.tables import delete, exists
 
     with_parts = lambda df: df.withColumns({"currency_p": F.col("currency"), "month": F.date_format("quote_date", "yyyy-MM")})
-    new = with_parts(new)
+    new, beside = with_parts(new), f"{root.rstrip('/')}-{uuid.uuid4().hex}"
     if exists(spark, root):
         touched = new.select("currency_p", "month").distinct()
         old = spark.read.schema(OBSERVATIONS + ", currency_p string, month string").parquet(root).join(touched, ["currency_p", "month"], "left_semi")
-        new = with_parts(merge(old.drop("currency_p", "month"), new.drop("currency_p", "month")))
-        new = spark.createDataFrame(new.collect(), new.schema)  # some months of daily rates; the files read are replaced
-    new.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("currency_p", "month").parquet(root)
+        merged = with_parts(merge(old.drop("currency_p", "month"), new.drop("currency_p", "month")))
+        merged.write.parquet(beside)
+        new = spark.read.schema(merged.schema).parquet(beside)
+    try:
+        new.repartition("currency_p", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("currency_p", "month").parquet(root)
+    finally:
+        delete(spark, beside)
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, lsn, masking
-from ..operators import checks, contracts, dimensions, fx, history, monitor
+from ..operators import build, checks, contracts, dimensions, fx, history, monitor
 from ..session import ship
+from ..sources import synthetic
 from ..sources.tables import table
 from . import testdata as T
 
@@ -79,7 +80,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query(f"WITH {_LOG} SELECT 'events' AS table_name, action, count(*) AS n FROM (SELECT action FROM log UNION ALL SELECT 'truncate' FROM log WHERE cuts) GROUP BY ALL")
 def bronze_event_counts(spark, d):
-    return T.change_log(spark, d).groupBy("table_name", "action").agg(F.count(F.lit(1)).alias("n"))
+    return T.change_log(spark, d).groupBy("table_name", "action").agg(F.count(F.lit(1)).alias("n")).orderBy("table_name", "action")
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
@@ -104,6 +105,25 @@ def one_source_instance(spark, d):
     return history.source_instances(T.change_log(spark, d, truncates=False))
 
 
+@query("SELECT count(DISTINCT CASE WHEN event_id % 10 > 0 THEN user_id % 4 END) AS n_instances, count(*) FILTER (event_id % 10 = 0) AS n_null FROM events")
+def mixed_source_instances(spark, d):
+    name = F.when(F.col("event_id") % 10 > 0, (F.col("user_id") % 4).cast("string"))
+    return history.source_instances(table(spark, d, "events").select(name.alias("source_system_id")))
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS a, CASE WHEN event_id % 3 <> 1 THEN event_type END AS b FROM events),
+r AS (SELECT * FROM e UNION ALL SELECT event_id, user_id, b, a FROM e WHERE event_id % 5 = 0)
+SELECT event_id, count(*) AS n_rows, count(DISTINCT {'a': a, 'b': b}) AS n_versions FROM r GROUP BY 1 HAVING count(DISTINCT {'a': a, 'b': b}) > 1"""
+)
+def bronze_replay_conflicts_of_nulls(spark, d):
+    """Two columns, each sometimes null; the copies have them exchanged, so versions hold the same values in other places."""
+    e, kind = table(spark, d, "events"), F.col("event_type")
+    rows = e.select("event_id", F.when(F.col("event_id") % 3 > 0, kind).alias("a"), F.when(F.col("event_id") % 3 != 1, kind).alias("b"))
+    again = rows.where("event_id % 5 = 0").select("event_id", F.col("b").alias("a"), F.col("a").alias("b"))
+    return history.replay_conflicts(rows.unionByName(again), ["event_id"], [F.col("a"), F.col("b")])
+
+
 _POSITION = "(event_id * 5000000007)"
 
 
@@ -177,6 +197,22 @@ def silver_full(spark, d):
     return history.build_history(T.change_log(spark, d), T.EVENTS, lambda c: c, validate=False)
 
 
+_SILVER = """changes AS (SELECT o_orderkey AS payment_id, k, 3000000000 + o_orderkey * 10 + k AS n, o_orderdate + k * INTERVAL 1 DAY AS t,
+  CASE WHEN k = 0 THEN 'insert' WHEN o_orderkey % 40 = 0 THEN 'delete' ELSE 'update' END AS action, o.* FROM orders o, (VALUES (0), (1)) AS v(k)),
+silver AS (SELECT payment_id, o_custkey AS customer_id, payment_id % 100 + 1 AS merchant_id, o_totalprice::DECIMAL(14,2) AS amount, o_orderstatus AS currency,
+  CASE WHEN k = 1 AND action = 'update' THEN 'captured' ELSE 'pending' END AS status, o_orderdate AS created_at, k = 1 AS is_current, action = 'delete' AS is_deleted,
+  '0/' || upper(to_hex(n)) AS change_lsn, n AS change_lsn_numeric, t AS change_commit_time FROM changes)"""
+
+
+@query(f"WITH {_SILVER} SELECT payment_id, customer_id, merchant_id, amount, currency, status, created_at, is_current, is_deleted, change_lsn, change_lsn_numeric, change_commit_time FROM silver")
+def silver_payments_validated(spark, d):
+    """The whole build of one contract's history, with its checks: replays, types, one source."""
+    log = T.source_log(spark, d).where("table_name = 'payments'")
+    h = history.build_history(log, contracts.PAYMENTS, masking.masker(KEY))
+    plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "change_commit_time")]
+    return h.select("payment_id", "customer_id", "merchant_id", "amount", "currency", "status", plain[0], "is_current", "is_deleted", "change_lsn", "change_lsn_numeric", plain[1])
+
+
 @query(
     """SELECT 'lang' AS column_name, 'bigint' AS type_name, count(*) FILTER (lang IS NOT NULL AND TRY_CAST(lang AS BIGINT) IS NULL) AS n_refused, arg_min(lang, doc_id) FILTER (lang IS NOT NULL AND TRY_CAST(lang AS BIGINT) IS NULL) AS first_refused FROM documents
 UNION ALL SELECT 'source', 'date', count(*) FILTER (source IS NOT NULL), arg_min(source, doc_id) FILTER (source IS NOT NULL) FROM documents
@@ -224,10 +260,44 @@ def dim_customer_scd2(spark, d):
     return _versions(spark, d).select("customer_sk", "user_id", "event_type", "v", "p", "valid_from", "valid_to", "first_seen_at", "is_current", "is_deleted")
 
 
-@query("SELECT md5(s_suppkey::VARCHAR) AS merchant_sk, s_suppkey AS merchant_id, s_name AS legal_name, s_nationkey AS country, false AS is_deleted FROM supplier")
+@query("SELECT md5(s_suppkey::VARCHAR) AS merchant_sk, s_suppkey AS merchant_id, s_name AS legal_name, CASE WHEN s_suppkey % 4 = 0 THEN 'travel' ELSE 'retail' END AS category, 'BR' AS country, false AS is_deleted FROM supplier")
 def dim_merchant_scd1(spark, d):
-    s = table(spark, d, "supplier")
-    return s.select(dimensions.surrogate(F.col("s_suppkey")).alias("merchant_sk"), F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("legal_name"), F.col("s_nationkey").alias("country"), F.lit(False).alias("is_deleted"))
+    return build.dim_merchant(build.current(_silver(spark, d, contracts.MERCHANTS), contracts.MERCHANTS))
+
+
+@query("SELECT s_suppkey AS merchant_id, CASE WHEN s_suppkey % 4 = 0 THEN 'travel' ELSE 'retail' END AS category, false AS is_deleted, 2000000000 + s_suppkey * 10 + (s_suppkey % 4 = 0)::INT AS change_lsn_numeric FROM supplier")
+def stg_merchants(spark, d):
+    return build.current(_silver(spark, d, contracts.MERCHANTS), contracts.MERCHANTS).select("merchant_id", "category", "is_deleted", "change_lsn_numeric")
+
+
+def _silver(spark, d, contract):
+    return history.build_history(T.source_log(spark, d).where(F.col("table_name") == contract.table), contract, masking.masker(KEY, native=True))
+
+
+_CUSTOMERS = """versions AS (SELECT c_custkey AS customer_id, k, c_name || CASE WHEN c_custkey % 3 = 0 AND k > 0 THEN '.' ELSE '' END AS full_name, c_name || '@example.invalid' AS email, lpad(c_custkey::VARCHAR, 11, '0') AS cpf,
+  k = 2 AS is_deleted, 1000000000 + c_custkey * 10 + k AS n, TIMESTAMP '1994-01-01' + k * INTERVAL 1 DAY AS t FROM customer, (VALUES (0), (1), (2)) AS v(k) WHERE k = 0 OR (k = 1 AND c_custkey % 3 = 0) OR (k = 2 AND c_custkey % 50 = 0)),
+dims AS (SELECT md5(customer_id::VARCHAR || '|' || n::VARCHAR) AS customer_sk, customer_id, full_name, email, cpf, CASE WHEN row_number() OVER w = 1 THEN TIMESTAMP '1900-01-01' ELSE t END AS valid_from, lead(t) OVER w AS valid_to,
+  t AS first_seen_at, lead(n) OVER w IS NULL AS is_current, is_deleted FROM versions WINDOW w AS (PARTITION BY customer_id ORDER BY n))"""
+_MASKED = "sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({c}))))"
+
+
+@query(f"WITH {_CUSTOMERS} SELECT customer_sk, customer_id, full_name, {_MASKED.format(outer=_OUTER, inner=_INNER, c='email')} AS email, {_MASKED.format(outer=_OUTER, inner=_INNER, c='cpf')} AS cpf, valid_from, valid_to, first_seen_at, is_current, is_deleted FROM dims")
+def dim_customer_built(spark, d):
+    """From the log of all tables: checked, masked, collapsed by transaction, versioned."""
+    out = build.dim_customer(build.versions(_silver(spark, d, contracts.CUSTOMERS), contracts.CUSTOMERS))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_from", "valid_to", "first_seen_at")})
+
+
+@query(f"""WITH {_SILVER}, {_CUSTOMERS}, {_RATES},
+days AS (SELECT min(least_day) AS a, max(most_day) AS b FROM (SELECT min(created_at::DATE) AS least_day, max(created_at::DATE) AS most_day FROM silver WHERE is_current UNION ALL SELECT min(quote_date), max(quote_date) FROM rates))
+SELECT md5(payment_id::VARCHAR) AS payment_sk, customer_sk, md5(merchant_id::VARCHAR) AS merchant_sk, strftime(created_at, '%Y%m%d')::INT AS date_sk, md5(s.currency) AS currency_sk, payment_id, amount AS amount_original,
+  {_CONVERTED.format(rate='coalesce(rate_brl, 1)')} AS amount_brl, s.currency <> 'P' AND rate_brl IS NULL AS rate_missing, s.currency, status, created_at
+FROM silver s LEFT JOIN dims ON dims.customer_id = s.customer_id AND created_at >= valid_from AND (valid_to IS NULL OR created_at < valid_to)
+LEFT JOIN rates ON rates.currency = s.currency AND quote_date = created_at::DATE WHERE s.is_current AND NOT s.is_deleted""".replace("md5(merchant_id::VARCHAR) AS merchant_sk", "(SELECT md5(x.s_suppkey::VARCHAR) FROM supplier x WHERE x.s_suppkey = s.merchant_id) AS merchant_sk"))
+def fct_payment_built(spark, d):
+    """The fact from cleaned histories of all three tables."""
+    tables = build.gold(*[_silver(spark, d, c) for c in (contracts.CUSTOMERS, contracts.MERCHANTS, contracts.PAYMENTS)], T.rates(spark, d), base=T.BASE_CURRENCY)
+    return tables["fct_payment"].withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("SELECT md5(currency) AS currency_sk, currency, currency = 'P' AS is_base_currency FROM (SELECT o_orderstatus AS currency FROM orders UNION SELECT l_linestatus FROM lineitem)")
@@ -354,9 +424,10 @@ def check_unique_lineitem(spark, d):
     return checks.unique(table(spark, d, "lineitem"), "l_orderkey")
 
 
-@query("SELECT o_orderkey AS value, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT o_orderkey AS value, count(*) AS n FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0) GROUP BY 1 HAVING count(*) > 1")
 def check_unique_orders(spark, d):
-    return checks.unique(table(spark, d, "orders"), "o_orderkey")
+    o = table(spark, d, "orders")
+    return checks.unique(o.unionByName(o.where("o_custkey % 7 = 0")), "o_orderkey")
 
 
 @query("SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
@@ -422,10 +493,10 @@ def table_fingerprint(spark, d):
     return checks.fingerprint(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query("SELECT count(*) AS n_rows, md5(string_agg(t, '|' ORDER BY t)) AS digest FROM (SELECT s_suppkey::VARCHAR || '|' || s_name AS t FROM supplier)")
-def table_fingerprint_listagg(spark, d):
-    rows = table(spark, d, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit("|"), F.col("s_name")).alias("t"))
-    return rows.selectExpr("count(*) AS n_rows", "md5(listagg(t, '|') WITHIN GROUP (ORDER BY t)) AS digest")
+@query("WITH r AS (SELECT md5(concat_ws('|', s_suppkey::VARCHAR, s_name)) AS h FROM supplier), c AS (SELECT substr(h, 1, 6) AS cell, count(*) AS n, md5(string_agg(h, '|' ORDER BY h)) AS h FROM r GROUP BY 1), b AS (SELECT substr(cell, 1, 3) AS cell, sum(n) AS n, md5(string_agg(h, '|' ORDER BY cell)) AS h FROM c GROUP BY substr(cell, 1, 3)) SELECT sum(n)::BIGINT AS n_rows, md5(string_agg(h, '|' ORDER BY cell)) AS digest FROM b WHERE (SELECT count(*) FROM supplier) <= 16777216")
+def table_fingerprint_deep(spark, d):
+    """A tree of two levels below the root, as a larger table has."""
+    return checks.fingerprint(table(spark, d, "supplier"), ["s_suppkey", "s_name"], leaf=0.002)
 
 
 @query("SELECT DISTINCT l_orderkey AS key, 'not in source' AS problem FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0) UNION ALL SELECT o_orderkey, 'not in log' FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -466,6 +537,61 @@ def retained_lsn_threshold(spark, d):
     return monitor.retained_log(slots.crossJoin(F.broadcast(top)), "position")
 
 
+_ROLLING = "c AS (SELECT (ceil(epoch_us(ts) / 30000000.0) * 30000000)::BIGINT AS slot, count(*) AS n FROM events GROUP BY 1), s AS (SELECT unnest(generate_series(min(slot), max(slot), 30000000)) AS t FROM c), rolling AS (SELECT make_timestamp(t) AS instant, t, coalesce(sum(n), 0)::BIGINT AS n FROM s LEFT JOIN c ON slot <= t AND slot > t - 600000000 GROUP BY t)"
+
+
+@query(f"WITH {_ROLLING} SELECT instant, n FROM rolling")
+def heartbeat_rolling(spark, d):
+    """Ten minutes, every thirty seconds."""
+    return monitor.rolling(table(spark, d, "events"), "ts", "10 minutes", "30 seconds")
+
+
+@query(f"WITH {_ROLLING} SELECT instant FROM (SELECT instant, max(n) OVER w AS most, count(*) OVER w AS k FROM rolling WINDOW w AS (ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE most < 2 AND k = 5")
+def heartbeat_firing(spark, d):
+    """Too few changes in ten minutes, for two minutes on end."""
+    return monitor.firing(monitor.rolling(table(spark, d, "events"), "ts", "10 minutes", "30 seconds"), "30 seconds", "2 minutes", least=2)
+
+
 @query("SELECT 'no data' AS problem FROM (SELECT count(*) AS n FROM events WHERE event_type = 'none') WHERE n = 0")
 def alert_vacuity(spark, d):
     return monitor.vacuous(table(spark, d, "events").where("event_type = 'none'"))
+
+
+# --- sources -----------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, (o_orderdate::VARCHAR)[1:10]::DATE AS paid_on FROM orders")
+def text_day_slice(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", lsn.text_day(F.col("o_orderdate").cast("string")).alias("paid_on"))
+
+
+@query("SELECT s_suppkey AS merchant_id, s_name AS legal_name, 'insert' AS action, '0/10' AS lsn, 16::BIGINT AS lsn_numeric, TIMESTAMP '1994-01-01' AS commit_time FROM supplier UNION ALL SELECT 2 * s_suppkey, s_name || '!', 'update', '0/' || upper(to_hex(1000 + s_suppkey)), 1000 + s_suppkey, TIMESTAMP '1994-01-02' FROM supplier WHERE s_suppkey * 2 <= (SELECT max(s_suppkey) FROM supplier)")
+def snapshot_then_changes(spark, d):
+    """A table's present rows as inserts before the first change of the stream."""
+    s = table(spark, d, "supplier")
+    merchants = s.select(F.col("s_suppkey").alias("merchant_id"), F.col("s_name").alias("legal_name"), F.lit("retail").alias("category"), F.lit("BR").alias("country"), F.lit("1994-01-01").alias("created_at"), F.lit("1994-01-01").alias("updated_at"))
+    taken = synthetic.snapshot(merchants, contracts.MERCHANTS, 16, F.lit("1994-01-01 00:00:00").cast("timestamp_ntz"), "7")
+    columns = [F.col("key")["merchant_id"].cast("long").alias("merchant_id"), F.col("after")["legal_name"].alias("legal_name"), "action", "lsn", "lsn_numeric", "commit_time"]
+    later, top = 1000 + F.col("s_suppkey"), s.agg(F.max("s_suppkey")).scalar()
+    changes = s.where(F.col("s_suppkey") * 2 <= top).select((F.col("s_suppkey") * 2).alias("merchant_id"), F.concat("s_name", F.lit("!")).alias("legal_name"), F.lit("update").alias("action"), lsn.format_lsn(later).alias("lsn"), later.alias("lsn_numeric"), F.lit("1994-01-02 00:00:00").cast("timestamp_ntz").alias("commit_time"))
+    return taken.select(*columns).unionByName(changes)
+
+
+def _u(tag: str) -> str:
+    return f"(('0x' || substr(md5('1|{tag}|' || step::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _one_of(values: tuple[str, ...], tag: str) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[(floor({_u(tag)} * {len(values)}) + 1)::INT]"
+
+
+@query(
+    f"""WITH s AS (SELECT unnest(generate_series(1, 3000)) AS step)
+SELECT step, 0 AS kind, 'payments' AS table_name, 'insert' AS action, step AS key_id, floor(500 + {_u('amount')} * 499500)::BIGINT AS amount_cents, {_one_of(synthetic.CURRENCIES, 'currency')} AS currency, 'pending' AS status FROM s
+UNION ALL SELECT step, 1, 'payments', 'update', step - floor({_u('recent')} * least(step, 50))::BIGINT, NULL, NULL, {_one_of(synthetic.STATUSES, 'status')} FROM s WHERE {_u('updated')} < 0.4
+UNION ALL SELECT step, 2, 'customers', 'update', (floor({_u('customer')} * 40) + 1)::BIGINT, NULL, NULL, NULL FROM s WHERE {_u('renamed')} < 0.1
+UNION ALL SELECT step, 3, 'merchants', 'update', (floor({_u('merchant')} * 7) + 1)::BIGINT, NULL, NULL, NULL FROM s WHERE {_u('touched')} < 0.05"""
+)
+def synthetic_load(spark, d):
+    """A seeded load: the same on every machine."""
+    return synthetic.synthetic_changes(spark, 3000, 40, 7).orderBy("step", "kind")
