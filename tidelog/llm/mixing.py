@@ -21,6 +21,8 @@ from .common import Scratch, components, gathered, hot_keys, partitions, split_j
 
 #: Buckets of the seeded order: a pattern's documents are cut at a bucket, and ordered in that one only.
 BUCKETS = 4096
+#: Rows of a plan that is broadcast, one a pattern; a longer one is joined with hot patterns dealt to parts.
+FEW = 10_000
 
 
 def min_cost_flow(edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -181,7 +183,7 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float
     patterns = scratch.write(patterns.withColumn("pattern", F.monotonically_increasing_id()))
     parts = patterns.select("pattern", "words", F.explode("sources").alias("source"))
     names = scratch.write(_ranked(parts.groupBy("source").agg(F.sum("words").alias("words")), scratch))
-    everything = patterns.agg(F.sum("words").alias("words"), F.sum("n").alias("n")).first()
+    everything = patterns.agg(F.sum("words").alias("words"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("patterns")).first()
     cls = F.pmod(F.col("place"), F.lit(len(weights))).cast("int")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), cls + 1)
 
@@ -210,9 +212,10 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float], total: float
     upto = cells.select("sources", "__bucket", F.col("words").alias("here")).join(plan.select("pattern", "sources", "left"), "sources").withColumn("upto", F.sum("here").over(so_far))
     cut = upto.where(F.col("upto") > F.col("left")).groupBy("pattern").agg(F.min("__bucket").alias("__cut"), F.min_by(F.col("left") - F.col("upto") + F.col("here"), "__bucket").alias("__left"))  # where the last pass ends
     plan = scratch.write(plan.join(cut, "pattern", "left").select(F.col("pattern").alias("__pattern"), "sources", "source_size", "target", "__base", F.coalesce("__cut", F.lit(BUCKETS)).alias("__cut"), F.coalesce("__left", F.lit(0)).cast("long").alias("__left")))
-    hot = gathered(hot_keys(patterns, ["sources"], everything["n"] or 0))
-
-    planned = split_join(rows, plan, ["sources"], hot, ["__rank"])
+    if everything["patterns"] <= FEW:
+        planned = rows.join(F.broadcast(plan), "sources")
+    else:
+        planned = split_join(rows, plan, ["sources"], gathered(hot_keys(patterns, ["sources"], everything["n"])), ["__rank"])
     order = Window.partitionBy("__pattern").orderBy("__rank", "size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     last = planned.where(F.col("__bucket") == F.col("__cut")).withColumn("__before", F.sum("size").over(order) - F.col("size"))
     rest = planned.where(F.col("__bucket") != F.col("__cut")).withColumn("__before", F.when(F.col("__bucket") < F.col("__cut"), F.lit(None)).otherwise(F.col("__left")))
