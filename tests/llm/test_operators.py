@@ -735,7 +735,7 @@ def shares(sizes, weights, total, most):
     return out
 
 
-def test_many_overlapping_sources_equal_one_flow(spark):
+def test_many_overlapping_sources_equal_one_flow(spark, monkeypatch):
     r = np.random.default_rng(12)
     names = [f"s{i:03d}" for i in range(120)] + ["é", None]
     data = []
@@ -744,7 +744,8 @@ def test_many_overlapping_sources_equal_one_flow(spark):
         more = [names[(k + 1) % 60]] if k < 60 and r.random() < 0.15 else []  # the first sixty overlap, in chains
         data.append((i, "w " * int(r.integers(0, 30)), [names[k], *more] if i % 50 else []))
     df = spark.createDataFrame(data, "doc_id bigint, text string, members array<string>")
-    for total in (0.7, 1.5, 3.0):
+    for total, few in ((0.7, 10_000), (1.5, 10), (3.0, 10_000)):
+        monkeypatch.setattr(mixing, "FEW", few)
         got = {x["doc_id"]: x for x in mixing.mix(df, F.col("members"), (5, 2, 1), total).collect()}
         assert len(got) == len(data)
         key = lambda s: (s is None, s or "")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, keep_only
+
 #: The pre-tokenizer's pattern (fixed values of byte-level BPE).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -203,10 +205,11 @@ class ByteBPE:
             return raw.decode("utf-8", "replace").encode()
 
 
-_loaded: dict[str, ByteBPE] = {}
+_loaded: dict[str, ByteBPE] = KEPT.setdefault("bpe", {})
 
 
 def _of(content: str) -> ByteBPE:
+    keep_only("bpe")
     if content not in _loaded:
         _loaded.clear()
         _loaded[content] = ByteBPE(content)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from bisect import bisect_right
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,37 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- memory of Python workers ------------------------------------------------------------------
+
+#: What an operator keeps in a worker from task to task, by its name: see keep_only.
+KEPT: dict[str, dict] = {}
+
+
+def keep_only(name: str | None = None) -> None:
+    """Empties what other operators keep in this worker, as workers are used again by whatever comes next."""
+    for other, held in KEPT.items():
+        if other != name:
+            held.clear()
+
+
+def tidy() -> None:
+    """Gives memory that was freed back to the machine: workers live on, and allocators keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.malloc_trim  # noqa: B018
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+_LIBC = _libc()
+
 # --- bounded samples ------------------------------------------------------------------------
 
 

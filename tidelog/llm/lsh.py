@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import Scratch, components, forest, gathered, hot_keys, split_join
+from .common import Scratch, components, forest, gathered, hot_keys, keep_only, split_join, tidy
 
 WIDTH = 5
 #: Rows and bytes of texts (or bodies) of a block; a longer text is a block of its own.
-BLOCK, BLOCK_BYTES = 256, 4_000_000
+BLOCK, BLOCK_BYTES = 256, 2_000_000
 _COLUMNS = 4096
 
 
@@ -143,6 +143,7 @@ def verified(pairs: DataFrame, texts: DataFrame, measure: Measure, threshold: fl
                 sim = [m.similarity(x, y) for x, y in zip(left, right)]
                 keep = pa.array([i for i, s in enumerate(sim) if s >= threshold], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(sim, pa.float64()).take(keep)], ["u", "v", "similarity"])
+        tidy()
 
     a = texts.select(F.col("node").alias("u"), F.col("text").alias("tu"))
     b = texts.select(F.col("node").alias("v"), F.col("text").alias("tv"))
@@ -203,6 +204,8 @@ def open_links(members: DataFrame, sizes: DataFrame, measure: Measure, threshold
     dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "component", "weight", "sig", "text")
 
     def run(group: pa.Table) -> pa.Table:
+        keep_only()
+        tidy()
         m = shared.value
         i, j, key = (group.column(c)[0].as_py() for c in ("i", "j", "key"))
         ids, comp, weight, block = (group.column(c).to_numpy() for c in ("node", "component", "weight", "b"))

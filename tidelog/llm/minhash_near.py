@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lsh, textvec
-from .common import partitions
+from .common import keep_only, partitions, tidy
 
 CELL_BITS = 20
 GROUP_BYTES = 6_000_000
@@ -113,6 +113,8 @@ def repeated_shingles(grouped: DataFrame, size: int) -> DataFrame:
     slices = max(partitions(grouped.sparkSession), size // SLICE_BYTES + 1)
 
     def ask(group: pa.Table) -> pa.Table:
+        keep_only()
+        tidy()
         held = [s for s, _ in lsh.shingle_sets(group.column("text"))]
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
         of = ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)  # ranges of keys
@@ -127,6 +129,8 @@ def repeated_shingles(grouped: DataFrame, size: int) -> DataFrame:
         })
 
     def add(cell: pa.Table) -> pa.Table:
+        keep_only()
+        tidy()
         keys = [_unpacked(k.as_py()) for k in cell.column("keys")]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate([np.frombuffer(c.as_py(), "<u4") for c in cell.column("counts")]))[at].astype("<u4")
@@ -158,6 +162,8 @@ class CorpusMeasure(WeightedMeasure):
         kinds = (*[pa.int64()] * 5, pa.float64(), pa.binary(), pa.binary())
 
         def sign(texts: pa.Table, told: pa.Table) -> pa.Table:
+            keep_only()
+            tidy()
             m, frequencies = shared.value, _told(documents, told)
             of, out = [texts.column(c).to_pylist() for c in ("id", "k1", "k2")], []
             for i, (s, c) in enumerate(lsh.shingle_sets(texts.column("text"))):

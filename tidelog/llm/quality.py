@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import sampled
+from .common import keep_only, sampled, tidy
 
 _GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t\v\f", ".", ",;:", "!", "?", "'\"`", "|", "#$%&*@^~", "()[]{}<>", "-_/\\+=")
 N_CLASSES = len(_GROUPS) + 2
@@ -174,6 +174,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col:
     schema = chosen.drop("__text").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         m = shared.value
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
@@ -182,5 +183,6 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col:
                 s = _sigmoid(m.logits(features(batch.column(last)))) if m is not None else np.ones(batch.num_rows)
                 columns = [batch.column(i) for i in range(last)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema.names)
+        tidy()
 
     return chosen.mapInArrow(run, schema)
