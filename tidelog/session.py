@@ -36,14 +36,19 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return builder.getOrCreate()
 
 
+#: Bytes of a batch that goes to a Python worker, where the session has Spark's default of 64 MB: a worker and its JVM hold a few at once.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+
 _ready: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers of this session import the package.
+    """Let the Python workers of this session import the package, and bound the batches that go to them.
 
     Locally by the path; on a cluster the package also goes there as a zip, once an application.
     """
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _ready:
         return
