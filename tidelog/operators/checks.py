@@ -64,15 +64,16 @@ def freshness(df: DataFrame, column: str, as_of: Column | datetime, warn_minutes
     return df.agg(F.max(column).alias("last_at")).select("last_at", F.floor(age).cast("long").alias("age_seconds")).withColumn("status", F.when(F.col("age_seconds").isNull() | (F.col("age_seconds") > error_minutes * 60), "error").when(F.col("age_seconds") > warn_minutes * 60, "warn").otherwise("pass"))
 
 
-def fingerprint(df: DataFrame, columns: list[str], leaf: int = 4096) -> DataFrame:
+def fingerprint(df: DataFrame, columns: list[str], leaf: int = 4096, depth: int = 3) -> DataFrame:
     """One row: count and md5 of all rows in order, the same for the same rows in any order and partitioning.
 
     Rows are digested alone, and digests are hashed in a tree by their prefixes, three hex digits a
     level: what meets in one place are about ``leaf`` digests, whatever the table. The depth follows
-    from the count, so equal tables have equal trees. Copies of one row count as often as they are.
+    from the count, so equal tables have equal trees; it is ``depth`` at least, a multiple of three.
+    Copies of one row count as often as they are.
     """
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in columns]))
-    depth, total = 3, df.count()
+    total = df.count()
     while total > leaf * 16**depth:
         depth += 3
     copies = df.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
