@@ -25,10 +25,10 @@ def lsn_diff(later: Column, earlier: Column) -> Column:
     return later - earlier
 
 
-def pretty_size(n: Column) -> Column:
-    """Bytes in the largest unit that keeps at least ten of it, rounded half up."""
+def pretty_size(n: Column, largest: str = "TB") -> Column:
+    """Bytes in the largest unit, up to ``largest``, that keeps at least ten of it, rounded half up."""
     units, out = ("bytes", "kB", "MB", "GB", "TB"), F.concat(n.cast("string"), F.lit(" bytes"))
-    for i, unit in enumerate(units[1:], 1):
+    for i, unit in enumerate(units[1 : units.index(largest) + 1], 1):
         value = F.floor((n + F.lit(1024**i // 2)) / F.lit(1024**i)).cast("long")
         out = F.when(F.abs(n) >= 10 * 1024**i, F.concat(value.cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
