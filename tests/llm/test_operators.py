@@ -361,6 +361,25 @@ def test_near_duplicate_classes_equal_brute_force(spark, texts, kind, monkeypatc
         assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_near_copies_of_a_large_group_are_linked(spark):
+    """Copies of one text, each with its own edit: its shingles weigh little beside the edits', and one copy is like another to 0.73 only."""
+    r = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    data = {0: " ".join(base)}
+    for i in range(1, 301):
+        t, at = list(base), 10 * r.choice(19, 3, replace=False) + 5
+        for k in at:
+            t[k] = f"edit{i}at{k}"
+        data[i] = " ".join(t)
+    data |= {1000 + i: " ".join(f"v{i}n{k}" for k in range(30)) for i in range(300)}
+    docs = spark.createDataFrame([*data.items()], "doc_id bigint, text string")
+    m = minhash_near.WeightedMeasure(minhash_near.inverse_frequencies(docs))
+    a, b = ((s, m.weights(s, c)) for s, c in lsh.shingle_sets(pa.array([data[0], data[1]])))
+    assert lsh.Measure().similarity(a, b) < 0.7 and m.similarity(a, b) == 181 / 211
+    got = {r["doc_id"]: r["class_id"] for r in minhash_near.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i < 1000 else i for i in data}
+
+
 def brute_rows(data, similar):
     """(id, class_id, kept) of rows (id, text): documents are distinct rows with a word; similar tells whether two texts are linked."""
     nodes = sorted({r for r in data if (r[1] or "").split()}, key=repr)

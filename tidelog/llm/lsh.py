@@ -38,6 +38,8 @@ class Measure:
 
     bands: int
     rows: int
+    #: How many of the bands, the last ones, are of plain sets. With any, the plain similarity may link a pair too.
+    plain: int = 0
 
     def signature(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -58,11 +60,16 @@ class Measure:
 
     def similarity(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
         """Weighted Jaccard of (shingles, weights) of two documents: sum of minima over sum of maxima."""
-        (x, v), (y, w) = a, b
+        (x, v), (y, w) = a[:2], b[:2]
         _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
         low = float(np.minimum(v[i], w[j]).sum())
         return low / (float(v.sum()) + float(w.sum()) - low) if low else 0.0
 
+    @staticmethod
+    def number(s: tuple) -> int:
+        """How many shingles a document has: a third item tells it where the first leaves some out."""
+        return s[2] if len(s) > 2 else len(s[0])
+
 
 def shingle_sets(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct shingles of five lower-case words and their counts, for each whole text of a column."""
@@ -157,8 +164,8 @@ def common_weights(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     one document alone reaches are left out; the others are multiplied some thousand at a time.
     """
     n = len(sets)
-    doc = np.repeat(np.arange(n), [len(s) for s, _ in sets])
-    shingle, weight = np.concatenate([s for s, _ in sets]), np.concatenate([w for _, w in sets])
+    doc = np.repeat(np.arange(n), [len(s[0]) for s in sets])
+    shingle, weight = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
     order = np.lexsort((weight, shingle))
     doc, shingle, weight = doc[order], shingle[order], weight[order]
     new_shingle = np.concatenate([[True], shingle[1:] != shingle[:-1]])
@@ -193,11 +200,12 @@ def open_links(members: DataFrame, sizes: DataFrame, measure: Measure, threshold
     is a task, which verifies its pairs and returns no more links than it has rows. A pair is
     verified in the first band that it shares. Ruled out are pairs whose weights differ too much to
     reach the threshold, and those with fewer equal signature values than the threshold would give
-    five standard deviations below its mean.
+    five standard deviations below its mean; with plain bands, only those whose equal values there
+    are too few as well.
     """
     shared = members.sparkSession.sparkContext.broadcast(measure)
-    hashes = measure.bands * measure.rows
-    least = threshold * hashes - 5 * (hashes * threshold * (1 - threshold)) ** 0.5
+    hashes, minima = (measure.bands - measure.plain) * measure.rows, measure.plain * measure.rows
+    least, least_plain = (threshold * n - 5 * (n * threshold * (1 - threshold)) ** 0.5 for n in (hashes, minima))
     cut = sizes.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
     placed = split_join(members, cut, ["key"], hot, ["node"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -215,8 +223,12 @@ def open_links(members: DataFrame, sizes: DataFrame, measure: Measure, threshold
         xs, ys = [], []
         for x in left:
             y = right[(ids[right] > ids[x]) & (comp[right] != comp[x])] if i == j else right[comp[right] != comp[x]]
-            y = y[np.minimum(weight[y], weight[x]) >= (threshold - 1e-9) * np.maximum(weight[y], weight[x])]
-            y = y[(sig[y] == sig[x]).sum(1) >= least]
+            near = np.minimum(weight[y], weight[x]) >= (threshold - 1e-9) * np.maximum(weight[y], weight[x])
+            equal = sig[y] == sig[x]
+            near &= equal[:, :hashes].sum(1) >= least
+            if minima:
+                near |= equal[:, hashes:].sum(1) >= least_plain
+            y = y[near]
             if len(y):
                 band = (keys[y] == keys[x]).argmax(1)
                 y = y[keys[x, band] == key]
@@ -232,6 +244,10 @@ def open_links(members: DataFrame, sizes: DataFrame, measure: Measure, threshold
                 low = common_weights(sets)[x, y]
                 w = weight[used]
                 sim = low / np.maximum(w[x] + w[y] - low, 1e-300)
+                if minima:
+                    low = common_weights([(s[0], np.ones(len(s[0]))) for s in sets])[x, y]
+                    n = np.array([m.number(s) for s in sets])
+                    sim = np.maximum(sim, low / (n[x] + n[y] - low))
                 for k in np.flatnonzero(np.abs(sim - threshold) < 1e-4):
                     sim[k] = m.similarity(sets[x[k]], sets[y[k]])
             else:
