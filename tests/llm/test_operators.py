@@ -838,6 +838,29 @@ def test_forward_is_exact_and_training_gains():
     assert logs[-1] > logs[0]
 
 
+def test_the_model_starts_from_all_texts(spark, documents, texts):
+    """Neighbours of symbols equal a plain count over all texts, and a pass from there is the trained model."""
+    rows_ = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumnRenamed("doc_id", "id")
+    every = pa.array([t or "" for t in texts.values()])
+    keys, counts = np.unique(np.concatenate([k for _, k, _ in hmm_lm.token_keys(every)]), return_counts=True)
+    mass = np.bincount((keys[counts < 5] >> np.uint64(64 - hmm_lm.CLASS_BITS)).astype(np.int64), counts[counts < 5] + 0.5, hmm_lm.N_CLASSES)
+    v = hmm_lm.Vocabulary(keys[counts >= 5], counts[counts >= 5], mass, len(every), int(counts.sum()) + len(every), len(keys) + 1, int((counts == 1).sum()))
+    signs = (textvec.seeded(71, hmm_lm.SIGNS * v.n_symbols) >> np.uint64(63)).astype(np.int64).reshape(hmm_lm.SIGNS, v.n_symbols) * 2 - 1
+    want = np.zeros((v.n_symbols, 2 * hmm_lm.SIGNS), np.int64)
+    for s in hmm_lm._sequences(every, v):
+        np.add.at(want[:, : hmm_lm.SIGNS], s[1:], signs[:, s[:-1]].T)
+        np.add.at(want[:, hmm_lm.SIGNS :], s[:-1], signs[:, s[1:]].T)
+    shared = spark.sparkContext.broadcast(v)
+    for parts in (1, 5):
+        assert (hmm_lm.neighbours(rows_.select("text").repartition(parts), shared, v.n_symbols) == want).all()
+    p = v.symbol_probabilities()
+    start = hmm_lm.HMM.beside(want, p, 8)
+    assert np.allclose(start.emit.sum(0), 1) and len({tuple(c) for c in start.emit.T.tolist()}) == 8
+    by_hand = hmm_lm.HMM.from_counts(hmm_lm.expected(rows_.select("text"), shared, start, len(p)), p, 500.0)
+    got = hmm_lm.train(rows_, v, passes=1)
+    assert np.allclose(got.emit, by_hand.emit, atol=1e-6) and np.allclose(got.move, by_hand.move, atol=1e-4)
+
+
 def test_scores_equal_a_plain_model(spark, texts, monkeypatch):
     """Every score of the query from the trained parameters: a symbol a token, its share of the symbol, the plain forward recursion."""
     held, kept = {}, hmm_lm.train

@@ -3,8 +3,9 @@
 Tokens are words, with A-Z in lower case, and an end. Training counts every token of the training
 texts; the most frequent types are symbols of their own, the others go by classes of their last
 three bytes, and a token's probability is that of its symbol in the hidden state times its share of
-the symbol. Baum-Welch: a bounded sample gives the first parameters; then, in each pass over all
-training texts, every partition sums its expected counts and the sums are added up. The scaled
+the symbol. Baum-Welch: the first parameters follow from which symbols stand beside which in all
+training texts; then, in each pass over all of them, every partition sums its expected counts and
+the sums are added up. Nothing is learned from a sample. The scaled
 forward recursion gives the exact likelihood of each whole text: probabilities of all sequences of
 types, an unknown one among them, that close with an end sum to one.
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import Scratch, partitions, sampled
+from .common import Scratch, partitions
 
 CLASS_BITS = 9
 N_CLASSES = 1 << CLASS_BITS
@@ -33,6 +34,8 @@ _TAIL = textvec.seeded(61, 3) | np.uint64(1)
 TOKENS_AT_ONCE = 400_000
 #: Parts of one in which expected counts are added up, as whole numbers.
 COUNTED = 1 << 16
+#: Random signs of a symbol, by which its neighbours are counted.
+SIGNS = 16
 #: Bytes of training text whose counts lie in one slice, and bytes of text of one group.
 SLICE_BYTES, GROUP_BYTES = 24_000_000, 3_000_000
 
@@ -121,6 +124,29 @@ class HMM:
         noise = (textvec.seeded(67, len(p) * states) >> np.uint64(11)).astype(np.float64).reshape(len(p), states) / 2**53
         return cls(np.full(states, 1 / states), np.full((states, states), 0.3 / states) + 0.7 * np.eye(states), _emissions(p[:, None] * (0.5 + noise), p))
 
+    @classmethod
+    def beside(cls, near: np.ndarray, p: np.ndarray, states: int) -> HMM:
+        """States of symbols with alike neighbours: spherical k-means of the rows of near (see neighbours), soft assignments."""
+
+        def unit(x: np.ndarray) -> np.ndarray:
+            return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+
+        w = np.where(near.any(1), p, 0)
+        x = unit(near.astype(np.float64))
+        x = unit(x - (x * w[:, None]).sum(0) / max(w.sum(), 1e-300))
+        w = np.sqrt(w)[:, None]
+        centres = x[[int(np.argmax(w))]]
+        for _ in range(states - 1):
+            centres = np.vstack([centres, x[np.argmax((1 - (x @ centres.T).max(1)) * w[:, 0])]])
+        for _ in range(30):
+            own = (x @ centres.T).argmax(1)
+            centres = unit(np.stack([(x * w)[own == k].sum(0) if w[own == k].any() else centres[k] for k in range(states)]))
+        share = np.exp(4 * (x @ centres.T))
+        share /= share.sum(1, keepdims=True)
+        share[~near.any(1)] = 1 / states
+        plain = cls.first(p, states)
+        return cls(plain.start, plain.move, _emissions(p[:, None] * (0.02 + share), p))
+
     @classmethod
     def from_counts(cls, counts: "Counts", p: np.ndarray, strength: float) -> HMM:
         """Parameters of expected counts; emissions are smoothed by the symbols' overall probabilities."""
@@ -328,30 +354,18 @@ def vocabulary_of(table: DataFrame, ends: int, frequent: int) -> Vocabulary:
     return Vocabulary(np.array([k for k, _ in top], np.uint64), np.array([c for _, c in top], np.int64), mass, ends, sum(n for _, _, n in bins) + ends, sum(t for _, t, _ in bins) + (ends > 0), sum(t for b, t, _ in bins if b == 0) + (ends == 1))
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, states: int = 8, sample: int = 400, rounds: int = 30, passes: int = 1, least_gain: float = 0.002, seed: int = 19, strength: float = 500.0) -> HMM:
-    """Baum-Welch: ``rounds`` on a bounded sample of (id, text) rows for a start, then passes over all of them.
+def train(texts: DataFrame, vocabulary: Vocabulary, states: int = 8, passes: int = 2, least_gain: float = 0.002, strength: float = 500.0) -> HMM:
+    """Baum-Welch over all (id, text) rows, from a start that follows from the neighbours of symbols in all of them.
 
-    There are at least one and at most ``passes`` of these; they end when one has raised the log10
+    There are at least one and at most ``passes`` passes; they end when one has raised the log10
     likelihood of a token by less than ``least_gain``. Each map task emits its expected counts once,
     a row a symbol, and rows are summed by symbol: what meets in one sum is a number a task.
     """
     p = vocabulary.symbol_probabilities()
-    model = HMM.first(p, states)
     if not vocabulary.tokens:
-        return model
+        return HMM.first(p, states)
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)  # some hundred kB, whatever the corpus
-
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int32).tobytes() for s in _sequences(batch.column(1), shared.value)], pa.binary())], ["id", "symbols"])
-
-    chosen = sampled(texts, "id", sample, seed, vocabulary.ends).select(F.col("id").cast("string").alias("id"), "text").mapInArrow(symbols, "id string, symbols binary").collect()
-    first = [np.frombuffer(r["symbols"], np.int32) for r in sorted(chosen, key=lambda r: (r["id"] or "", bytes(r["symbols"])))]
-    for _ in range(rounds if first else 0):
-        counts = Counts.none(states, len(p))
-        for some in _portions([len(s) for s in first]):
-            forward(model, [first[i] for i in some], counts)
-        model = HMM.from_counts(counts, p, strength)
+    model = HMM.beside(neighbours(texts.select("text"), shared, len(p)), p, states)
     before = None
     for _ in range(passes):
         counts = expected(texts.select("text"), shared, model, len(p))
@@ -362,6 +376,42 @@ def train(texts: DataFrame, vocabulary: Vocabulary, states: int = 8, sample: int
     return model
 
 
+def count_beside(sequences: list[np.ndarray], near: np.ndarray) -> None:
+    """Adds, to each symbol's row of near, the signs of the symbols before it, then of those behind it."""
+    if not sequences:
+        return
+    x = np.concatenate(sequences)
+    inside = np.ones(len(x), bool)
+    inside[np.cumsum([len(s) for s in sequences]) - 1] = False
+    at = np.flatnonzero(inside)
+    a, b = x[at], x[at + 1]
+    signs = (textvec.seeded(71, SIGNS * len(near)) >> np.uint64(63)).astype(np.float64).reshape(SIGNS, len(near)) * 2 - 1
+    for k in range(SIGNS):
+        near[:, k] += np.bincount(b, signs[k][a], len(near)).astype(np.int64)
+        near[:, SIGNS + k] += np.bincount(a, signs[k][b], len(near)).astype(np.int64)
+
+
+def neighbours(texts: DataFrame, vocabulary, symbols: int) -> np.ndarray:
+    """For each symbol, sums of signs of its neighbours in all of a text column: random projections of its rows and columns of the counts of pairs. vocabulary: broadcast."""
+    names = [f"c{k}" for k in range(2 * SIGNS)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros((symbols, 2 * SIGNS), np.int64)
+        for batch in batches:
+            sequences = _sequences(batch.column(0), vocabulary.value)
+            for some in _portions([len(s) for s in sequences]):
+                count_beside([sequences[i] for i in some], near)
+        some = np.flatnonzero(near.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(near[some, k]) for k in range(2 * SIGNS))], ["row", *names])
+
+    sums = texts.mapInArrow(count, "row bigint, " + ", ".join(f"{n} bigint" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
+    total = np.zeros((symbols, 2 * SIGNS), np.int64)
+    for r in sums.collect():  # a row for each symbol: some thousand
+        total[r["row"]] = r[1:]
+    return total
+
+
 def expected(texts: DataFrame, vocabulary, model: HMM, symbols: int) -> Counts:
     """Expected counts of a model over a text column. vocabulary: broadcast."""
     states = len(model.start)
@@ -387,7 +437,7 @@ def expected(texts: DataFrame, vocabulary, model: HMM, symbols: int) -> Counts:
     return Counts.of(total, states)
 
 
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", states: int = 8, frequent: int = 4096, passes: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", states: int = 8, frequent: int = 4096, passes: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """Learns from the rows of docs where ``training`` (a boolean column) holds and scores all rows.
 
     Returns id, n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (the
